@@ -7,14 +7,38 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import survivor, topn
+from bitweave.llm import names, skeleton, survivor, topn
 from bitweave.session import table
 
 SNAPSHOT = "2026-06-30 00:00:00+00:00"
 
 
-def name_key(x: Column) -> Column:
-    return F.lower(F.trim(x))
+name_key = names.name_key
+NAME_RELATIONS = ["directed_by", "written_by", "portrayed_by", "founded_by", "employed_by", "member_of", "produced_by", "mentored_by"]
+
+
+def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The name keys of edges and triples, one row per occurrence after a map-side distinct."""
+    edges = table(spark, sf_dir, "edges")
+    triple = table(spark, sf_dir, "pilot_extraction").select(F.explode("triples").alias("t"))
+    third = F.when(F.get("t", F.lit(1)).isin(NAME_RELATIONS), F.get("t", F.lit(2)))
+    ends = edges.select(F.explode(F.array(F.when(~name_key(F.col("source")).startswith("_bridge_"), F.col("source")), F.col("target"))).alias("x"))
+    return ends.unionByName(triple.select(F.explode(F.array(F.get("t", F.lit(0)), third)).alias("x"))).select(name_key(F.col("x")).alias("name")).distinct()
+
+
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of different name keys of one person or organisation."""
+    return names.pairs_of(names.link_names(name_keys(spark, sf_dir), "name"))
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results whose gold and answer look the same but are stored differently."""
+    return skeleton.same_look(table(spark, sf_dir, "results"), "gold", "ans", "result_id")
+
+
+def p2_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every form of gold and answers with the number of spellings it is stored in."""
+    return skeleton.looks(table(spark, sf_dir, "results"), ["gold", "ans"])
 
 
 def _usable_confidence() -> Column:
@@ -104,7 +128,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
