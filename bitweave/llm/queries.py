@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import names, skeleton, survivor, topn
+from bitweave.llm import canon, names, skeleton, survivor, topn
 from bitweave.session import table
 
 SNAPSHOT = "2026-06-30 00:00:00+00:00"
@@ -60,6 +60,33 @@ def _edge_bundles() -> list[survivor.Bundle]:
     ]
 
 
+VALUE_RELATIONS = ["based_in", "located_in", "born_in", "headquartered_in", "held_position", "profession"]
+
+
+def typed_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, pos, value) of the anchors (pos 0) and of the place and position objects of the k-th
+    triple (pos k). A question delivered again counts once; should its content differ, the
+    smallest value counts."""
+    asked = table(spark, sf_dir, "pilot_extraction")
+    anchor = asked.select("id", F.lit(0).cast("bigint").alias("pos"), F.col("plan.anchor").alias("value"))
+    triple = asked.select("id", F.posexplode("triples").alias("k", "t")).where(F.get("t", F.lit(1)).isin(VALUE_RELATIONS))
+    placed = triple.select("id", (F.col("k") + 1).cast("bigint").alias("pos"), F.get("t", F.lit(2)).alias("value"))
+    return anchor.unionByName(placed).where("value is not null").groupBy("id", "pos").agg(F.min("value").alias("value"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The entry of the reference list that each typed anchor, place or position stands for."""
+    refs = table(spark, sf_dir, "ref_entities")
+    return canon.map_values(typed_values(spark, sf_dir), "value", refs, "canon_id", "canon_name").select("id", "pos", "canon_id")
+
+
+def p3_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that stand for no entry, with the number of places where they are typed."""
+    refs = table(spark, sf_dir, "ref_entities")
+    mapped = canon.map_values(typed_values(spark, sf_dir), "value", refs, "canon_id", "canon_name")
+    return mapped.where("canon_id = -1").groupBy("value").agg(F.count("*").alias("n"))
+
+
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The edge that supplies each field of the surviving record of every group of two or more."""
     edges = table(spark, sf_dir, "edges")
@@ -128,7 +155,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found}
 
 
 def oracle_sql() -> dict[str, str]:
