@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import canon, names, skeleton, survivor, topn
-from bitweave.session import table
+from bitweave.llm import bpe, canon, names, packing, skeleton, survivor, topn
+from bitweave.session import stored, table
 
 SNAPSHOT = "2026-06-30 00:00:00+00:00"
 
@@ -116,6 +116,24 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top.select(F.col("grp").alias("source"), F.col("ident").alias("edge_id"))
 
 
+def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document."""
+    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document, sized in tokens, in a container of each kind."""
+    sizes = stored(bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    return packing.pack(sizes, "doc_id", "tokens", table(spark, sf_dir, "containers"), "container", "capacity")
+
+
+def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How full the containers of each kind are."""
+    capacity = table(spark, sf_dir, "containers")
+    used = p7_packed(spark, sf_dir).groupBy("container").agg((F.max("bin") + 1).alias("bins"), F.sum("tokens").alias("tokens"))
+    return used.join(capacity, "container").select("container", "capacity", "bins", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("fill"))
+
+
 _P4_BASE = """
  e AS (SELECT edge_id, lower(trim(source)) AS s, lower(trim(target)) AS t, version,
         answer_payload, bridge_chunk, provenance, last_seen,
@@ -155,7 +173,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
 
 
 def oracle_sql() -> dict[str, str]:
