@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bitweave.llm import bpe, canon, names, packing, skeleton, survivor, topn
+from bitweave.llm import bpe, canon, names, packing, skeleton, survivor, topn, truncation
 from bitweave.session import stored, table
 
 SNAPSHOT = "2026-06-30 00:00:00+00:00"
@@ -134,6 +134,16 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return used.join(capacity, "container").select("container", "capacity", "bins", "tokens", F.round(F.col("tokens") / (F.col("bins") * F.col("capacity")), 6).alias("fill"))
 
 
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents whose text was cut."""
+    return truncation.cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The share of cut texts of each source."""
+    return truncation.cut_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+
+
 _P4_BASE = """
  e AS (SELECT edge_id, lower(trim(source)) AS s, lower(trim(target)) AS t, version,
         answer_payload, bridge_chunk, provenance, last_seen,
@@ -173,7 +183,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill}
+    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
