@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -131,11 +129,13 @@ def ngram_state(df: DataFrame, ident: str, text: str, low: int = 2, high: int =
     nothing, so no distinct is needed before the aggregate."""
     t = F.lower(F.col(text))
 
-    def gram(n: int) -> Callable[[Column], Column]:
-        return lambda i: F.when(i + n - 1 <= F.length("t"), F.substring(F.col("t"), i, F.lit(n)))
-
-    grams = F.concat(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("t") - n + 1, F.lit(1))), gram(n)) for n in range(low, high + 1)])
-    rows = df.select(ident, t.alias("t")).select(ident, F.explode(grams).alias("g")).where("g is not null")
+    # Characters are split once; each length of n-gram extends the one before, so a text of any
+    # length costs time in proportion to it.
+    made = df.select(ident, F.regexp_extract_all(t, F.lit("(?s)."), 0).alias("c")).withColumn("g1", F.col("c"))
+    for n in range(2, high + 1):
+        size = F.greatest(F.size("c") - n + 1, F.lit(0))
+        made = made.withColumn(f"g{n}", F.zip_with(F.slice(f"g{n - 1}", F.lit(1), size), F.slice("c", F.lit(n), size), lambda a, b: F.concat(a, b)))
+    rows = made.select(ident, F.explode(F.concat(*[F.col(f"g{n}") for n in range(low, high + 1)])).alias("g"))
     bucket = F.conv(F.substring(F.md5("g"), 31, 2), 16, 10).cast("int") % (32 * words)
     placed = rows.select(ident, bucket.alias("b")).select(ident, F.expr("b div 32").cast("int").alias("w"), F.expr("shiftleft(1L, b % 32)").alias("v"))
     by_word = placed.groupBy(ident, "w").agg(F.bit_or("v").alias("v"))
