@@ -99,7 +99,7 @@ def plan(histogram: dict[int, int], capacity: int) -> tuple[list[Run], int]:
     for length in sorted(left, reverse=True):
         of[-(-length // grain)].append(length)
     if left:
-        kinds = patterns(-(-capacity // grain), DOCUMENTS)
+        kinds = patterns(capacity // grain, DOCUMENTS)
         kinds = [p for p in kinds if all(c in of for c in p)]
         total = sum(left.values())
         if kinds:
