@@ -13,7 +13,7 @@ from bitweave.functions import words as w
 from bitweave.operators import memory as mm
 from bitweave.operators.bundle import bundle
 from bitweave.queries import oracle as q
-from bitweave.session import table
+from bitweave.session import spread, table
 
 W = q.W
 D = 32 * W
@@ -21,7 +21,7 @@ D = 32 * W
 
 def facts(spark: SparkSession, d: str) -> DataFrame:
     """The fact store as memories of up to 32 documents each: their size does not grow with the store."""
-    return mm.clean(table(spark, d, "facts"), F.expr("doc_id div 32"))
+    return mm.clean(spread(table(spark, d, "facts")), F.expr("doc_id div 32"))
 
 
 def _names(spark: SparkSession, d: str) -> DataFrame:

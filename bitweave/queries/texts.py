@@ -9,7 +9,7 @@ from bitweave.functions import text as tx
 from bitweave.functions import words as w
 from bitweave.operators.bundle import bundle
 from bitweave.queries import oracle as q
-from bitweave.session import table
+from bitweave.session import spread, table
 
 _STOP = ", ".join(f"'{x}'" for x in tx.ENTITY_STOP)
 _CONTENT = ", ".join(f"'{x}'" for x in tx.CONTENT_STOP)
@@ -26,7 +26,7 @@ def _strip(x: str, signs: str) -> str:
 
 
 def docs(spark, d):
-    return table(spark, d, "documents").where("text is not null")
+    return spread(table(spark, d, "documents")).where("text is not null")
 
 
 @query("T1_hashed_features", f"""WITH d AS (SELECT doc_id, {_words('lower(text)')} AS ws FROM documents WHERE text IS NOT NULL),
