@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bitweave.llm import bpe, canon, names, packing, skeleton, survivor, topn, truncation
-from bitweave.session import stored, table
+from bitweave.session import spread, stored, table
 
 SNAPSHOT = "2026-06-30 00:00:00+00:00"
 
@@ -118,12 +118,12 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token ids of every document."""
-    return bpe.encode(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return bpe.encode(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p7_packed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document, sized in tokens, in a container of each kind."""
-    sizes = stored(bpe.count_tokens(table(spark, sf_dir, "documents"), "doc_id", "text"), "sizes")
+    sizes = stored(bpe.count_tokens(spread(table(spark, sf_dir, "documents")), "doc_id", "text"), "sizes")
     return packing.pack(sizes, "doc_id", "tokens", table(spark, sf_dir, "containers"), "container", "capacity")
 
 
@@ -136,12 +136,12 @@ def p7_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose text was cut."""
-    return truncation.cut_texts(table(spark, sf_dir, "documents"), "doc_id", "text")
+    return truncation.cut_texts(spread(table(spark, sf_dir, "documents")), "doc_id", "text")
 
 
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The share of cut texts of each source."""
-    return truncation.cut_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
+    return truncation.cut_shares(spread(table(spark, sf_dir, "documents")), "doc_id", "text", "source")
 
 
 _P4_BASE = """
