@@ -24,9 +24,12 @@ def bundle(df: DataFrame, keys: list[str], state: str, words: int, weight: Colum
     word and map task, however many rows a group has.
     """
     weight = F.lit(1).cast("bigint") if weight is None else weight.cast("bigint")
-    rows = df.select(*keys, weight.alias("_n"), F.posexplode(state).alias("_w", "_v")).where("_n is not null and _v is not null")
+    # Exploding the word numbers, which are constants, and leaving out null states in the sums instead
+    # of by a filter keeps the optimizer from computing the state again in filters on the scan.
+    numbered = df.select(*keys, weight.alias("_n"), F.col(state).alias("_s"), F.explode(F.array(*[F.lit(i) for i in range(words)])).alias("_w"))
+    rows = numbered.select(*keys, "_n", "_w", F.get("_s", F.col("_w")).alias("_v"))
     counters = [F.sum(F.shiftright("_v", b).bitwiseAND(F.lit(1)) * F.col("_n")).alias(f"_{b}") for b in range(32)]
-    counted = rows.groupBy(*keys, "_w").agg(F.sum("_n").alias("_all"), *counters)
+    counted = rows.groupBy(*keys, "_w").agg(F.sum(F.when(F.col("_v").isNotNull(), F.col("_n"))).alias("_all"), *counters).where("_all is not null")
     if tie == "item":
         tied = F.element_at(w.item(F.lit(TIE_NAME), words), F.col("_w") + 1)
     else:

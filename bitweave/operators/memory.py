@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bitweave.functions import words as w
 from bitweave.operators.bundle import bundle
+from bitweave.session import partitions
 
 #: Room for the index of a name in the code "distance, index" that arg-min aggregates.
 _INDEX = 1 << 40
@@ -65,16 +66,22 @@ def composed_key(s: Column, r1: Column, r2: Column, words: int) -> Column:
     return w.bind(w.item(s, words), w.bind(w.rho(w.item(r1, words), 1, words), w.rho(w.item(r2, words), 1, words)))
 
 
-def nearest(noisy: DataFrame, names: DataFrame, query: list[str], words: int, state: str = "noisy", keep: Column | None = None) -> DataFrame:
+def nearest(noisy: DataFrame, names: DataFrame, query: list[str], words: int, state: str = "noisy", keep: Column | None = None, salts: int = 1) -> DataFrame:
     """Cleanup: for each query the name of its memory whose state is nearest.
 
     ``noisy``: (mem, *query, state); ``names``: (mem, name, idx). Of equally near names the one with
     the smallest idx wins. ``keep``: condition on a pair, for typed or guided projections. Queries
     whose memory offers no name are absent. An equi-join on the memory and a primitive arg-min
     (distance and index in one BIGINT), so the aggregate hashes and combines before the shuffle.
+
+    Few bytes make many pairs here, so both sides are put into a stated number of partitions, which
+    adaptive execution does not merge by size. A memory too large for one task is spread over
+    ``salts`` tasks, each with its share of the queries and a copy of the names.
     """
-    states = names.select("mem", "name", "idx", w.item(F.col("name"), words).alias("_state"))
-    pairs = noisy.join(states, "mem")
+    parts = partitions(noisy)
+    states = names.select("mem", "name", "idx", w.item(F.col("name"), words).alias("_state"), F.explode(F.array(*[F.lit(i) for i in range(salts)])).alias("_salt"))
+    asked = noisy.withColumn("_salt", F.pmod(F.hash(*query), F.lit(salts)))
+    pairs = asked.repartition(parts, "mem", "_salt").join(states.repartition(parts, "mem", "_salt"), ["mem", "_salt"])
     if keep is not None:
         pairs = pairs.where(keep)
     code = w.hamming(F.col(state), F.col("_state"), words).cast("bigint") * _INDEX + F.col("idx")

@@ -21,6 +21,13 @@ def spread(df: DataFrame) -> DataFrame:
     return df if df._jdf.queryExecution().toRdd().getNumPartitions() >= cores else df.repartition(cores)
 
 
+def partitions(df: DataFrame) -> int:
+    """Partitions for a shuffle whose work is out of proportion to its bytes: the session's number
+    of shuffle partitions, at least one per core."""
+    spark = df.sparkSession
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share.
 
