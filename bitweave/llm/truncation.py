@@ -18,6 +18,7 @@ a frequent prefix is one row per task and following token.
 
 from __future__ import annotations
 
+import functools
 import unicodedata
 from collections.abc import Iterator
 
@@ -40,17 +41,18 @@ _BROKEN = regex.compile(r"�\s*$")
 _STOP = regex.compile(r"[.。]+$")
 
 
-def tokens(segment: str) -> list[tuple[str, str]]:
-    """(pattern, token) of a segment: N for a run of names, I for an identifier, 0 for each digit,
-    other words in lower case, signs as they are."""
+def _raw(segment: str) -> list[tuple[str, str]]:
+    """(kind, text) of a segment's tokens."""
+    return [(m.lastgroup, m[0]) for m in _TOKEN.finditer(segment)]
+
+
+def _pattern(raw: list[tuple[str, str]]) -> list[tuple[str, str]]:
     out: list[tuple[str, str]] = []
-    for m in _TOKEN.finditer(segment):
-        text, kind = m[0], m.lastgroup
+    for kind, text in raw:
         if kind == "name":
-            if text.endswith(".") and len(text) > 2:  # a full stop, not an initial's
-                text, stop = text[:-1], True
-            else:
-                stop = False
+            stop = text[-1] == "." and len(text) > 2  # a full stop, not an initial's
+            if stop:
+                text = text[:-1]
             if out and out[-1][0] == "N":
                 out[-1] = ("N", text)
             else:
@@ -60,9 +62,9 @@ def tokens(segment: str) -> list[tuple[str, str]]:
         elif kind == "ident":
             out.append(("I", text))
         elif kind == "number":
-            stop = text[-1] in ".," and text[-1]
+            stop = text[-1] if text[-1] in ".," else ""
             body = text[:-1] if stop else text
-            out.append((regex.sub(r"\d", "0", body), body))
+            out.append((body.translate(_DIGITS), body))
             if stop:
                 out.append((stop, stop))
         else:
@@ -70,18 +72,23 @@ def tokens(segment: str) -> list[tuple[str, str]]:
     return out
 
 
-def _patterns(segment: str) -> list[list[tuple[str, str]]]:
+_DIGITS = str.maketrans("123456789", "000000000")
+
+
+def tokens(segment: str) -> list[tuple[str, str]]:
+    """(pattern, token) of a segment: N for a run of names, I for an identifier, 0 for each digit,
+    other words in lower case, signs as they are."""
+    return _pattern(_raw(segment))
+
+
+def _patterns(raw: list[tuple[str, str]]) -> list[list[tuple[str, str]]]:
     """A segment's pattern, and where it begins with a capital also the one that spells out its
     first word: the beginning of a sentence is not always a name."""
-    found = tokens(segment)
-    out = [found]
-    first = _TOKEN.match(segment.lstrip())
-    if found and found[0][0] == "N" and first and first.lastgroup == "name":
-        word = first[0].rstrip(".")
-        rest = tokens(segment.lstrip()[first.end():])
-        if first[0].endswith(".") and len(first[0]) > 2:
-            rest = [(".", "."), *rest]
-        out.append([("^" + word.lower(), word), *rest])
+    out = [_pattern(raw)]
+    if raw and raw[0][0] == "name":
+        word = raw[0][1].rstrip(".")
+        stop = [(".", ".")] if raw[0][1][-1] == "." and len(raw[0][1]) > 2 else []
+        out.append([("^" + word.lower(), word), *stop, *_pattern(raw[1:])])
     return out
 
 
@@ -92,14 +99,18 @@ def _ended(found: list[tuple[str, str]]) -> list[tuple[str, str]]:
     return found
 
 
+@functools.lru_cache(1 << 16)
+def _token_hash(pattern: str) -> int:
+    return xxhash.xxh64_intdigest(pattern)
+
+
 def hashes(found: list[tuple[str, str]]) -> list[int]:
-    """Hash of every prefix, from the empty one to the whole."""
-    state = xxhash.xxh64()
-    out = [state.intdigest() - (1 << 63)]
+    """Hash of every prefix, from the empty one to the whole: each extends the one before."""
+    state, out = 0x9E3779B97F4A7C15, [0]
     for pattern, _ in found:
-        state.update(pattern)
-        state.update("\x1f")
-        out.append(state.intdigest() - (1 << 63))
+        state = ((state ^ _token_hash(pattern)) * 0xD6E8FEB86659FD93 + 1) & 0xFFFFFFFFFFFFFFFF
+        state ^= state >> 32
+        out.append(state - (1 << 63))
     return out
 
 
@@ -118,89 +129,41 @@ def segments(text: str) -> list[str]:
     return [s.strip() for s in _SPLIT.split(unicodedata.normalize("NFC", text)) if s and s.strip()]
 
 
-def _index(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(key, next, kind, n): what follows a prefix: a token (kind 0), the end of a segment that is
-    known to be whole (1), or the end of a text (2)."""
-    seen: dict[tuple[int, str, int], int] = {}
-    done: dict[str, list[tuple[int, str]]] = {}
-
-    def rows() -> pa.RecordBatch:
-        keys = list(seen)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.string()), pa.array([k[2] for k in keys], pa.int32()), pa.array(list(seen.values()), pa.int64())], names=["key", "next", "kind", "n"])
-
-    for batch in texts:
-        for text in batch.column(0).to_pylist():
-            parts = segments(_strip(text)[0])
-            for i, segment in enumerate(parts):
-                last = i == len(parts) - 1
-                entries = done.get(segment)
-                if entries is None:
-                    entries = []
-                    for found in _patterns(segment):
-                        found = _ended(found)
-                        if found:
-                            keys = hashes(found)
-                            entries += [(k, p) for k, (p, _) in zip(keys, found)]
-                            entries.append((keys[-1], END))
-                    if len(done) > 100_000:
-                        done.clear()
-                    if len(segment) < 400:
-                        done[segment] = entries
-                for k, p in entries:
-                    e = (k, p, 0 if p != END else 2 if last else 1)
-                    seen[e] = seen.get(e, 0) + 1
-            if len(seen) > COMBINED:
-                yield rows()
-                seen = {}
-    if seen:
-        yield rows()
-
+def _entries(raw: list[tuple[str, str]]) -> list[tuple[int, str]]:
+    """(key, next) of all prefixes of a segment's patterns, END after the whole."""
+    out = []
+    for found in _patterns(raw):
+        found = _ended(found)
+        if found:
+            keys = hashes(found)
+            out += [(k, p) for k, (p, _) in zip(keys, found)]
+            out.append((keys[-1], END))
+    return out
 
-def _words(texts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(word, ends, inside): how often a word ends its run, or goes on to another name (a name) or
-    word. The last word of a text is left out, and names that begin a segment, where any word is
-    written like one."""
-    seen: dict[str, list[int]] = {}
 
-    def rows() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array([v[0] for v in seen.values()], pa.int64()), pa.array([v[1] for v in seen.values()], pa.int64())], names=["word", "ends", "inside"])
-
-    for batch in texts:
-        for text in batch.column(0).to_pylist():
-            parts = segments(_strip(text)[0])
-            for i, segment in enumerate(parts):
-                found = list(_TOKEN.finditer(segment))
-                for j, m in enumerate(found):
-                    end = j == len(found) - 1
-                    if m.lastgroup in ("cjk", "sign", "number") or end and i == len(parts) - 1 or not j and m.lastgroup == "name" and m[0][-1] != ".":
-                        continue
-                    word = m[0].rstrip(".") if m.lastgroup == "name" and len(m[0]) > 2 else m[0]
-                    goes_on = m.lastgroup == "name" and not end and found[j + 1].lastgroup == "name" and not (m[0].endswith(".") and len(m[0]) > 2)
-                    if m.lastgroup == "word":
-                        goes_on = not end and found[j + 1].lastgroup != "sign"
-                    v = seen.setdefault(word, [0, 0])
-                    v[goes_on] += 1
-            if len(seen) > COMBINED:
-                yield rows()
-                seen = {}
-    if seen:
-        yield rows()
+def _count_words(raw: list[tuple[str, str]], last: bool, seen: dict[str, list[int]]) -> None:
+    """Counts how often a word ends its run, or goes on to another name (a name) or word. The last
+    word of a text is left out, and names that begin a segment, where any word is written like one."""
+    for j, (kind, text) in enumerate(raw):
+        end = j == len(raw) - 1
+        if kind in ("cjk", "sign", "number") or end and last or not j and kind == "name" and text[-1] != ".":
+            continue
+        stop = kind == "name" and text[-1] == "." and len(text) > 2
+        if kind == "word":
+            goes_on = not end and raw[j + 1][0] != "sign"
+        else:
+            goes_on = kind == "name" and not end and raw[j + 1][0] == "name" and not stop
+        seen.setdefault(text[:-1] if stop else text, [0, 0])[goes_on] += 1
 
 
-def last_segment(text: str) -> dict | None:
-    """What is asked about a text's end; None for a text without a token."""
-    bare, broken = _strip(text)
-    parts = segments(bare)
-    if not parts:
+def _asked(text: str, bare: str, broken: bool, segment: str, raw: list[tuple[str, str]]) -> dict | None:
+    """What is asked about a text's end, of its last segment; None for one without a token."""
+    if not raw:
         return None
-    # A full stop after an initial or a digit does not end a sentence.
-    found = _patterns(parts[-1])
-    if not found[0]:
-        return None
-    raw = list(_TOKEN.finditer(parts[-1]))
-    last = raw[-1]
-    kind, word = last.lastgroup, last[0]
-    stop = parts[-1][-1] in ".!?。！？”»" and not (kind == "name" and len(word) == 2)
+    found = _patterns(raw)
+    kind, word = raw[-1]
+    # A full stop after an initial does not end a sentence.
+    stop = segment[-1] in ".!?。！？”»" and not (kind == "name" and len(word) == 2)
     if kind == "name" and word.endswith(".") and len(word) > 2:
         word = word[:-1]
     asked = []
@@ -219,15 +182,60 @@ def last_segment(text: str) -> dict | None:
 _LAST = "broken boolean, mark boolean, stop boolean, kind string, word string, k1 bigint, p1 bigint, t1 string, w1 string, k2 bigint, p2 bigint, t2 string, w2 string"
 _LAST_NAMES = [x.split()[0] for x in _LAST.split(", ")]
 _LAST_TYPES = {"boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64()}
+_ROW = "what int, key bigint, next string, follows int, n bigint, inside bigint"
+
 
+def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One pass over the texts. what 0: n times ``next`` follows the prefix ``key``: a token (follows
+    0), the end of a segment known to be whole (1), or the end of a text (2). what 1: the word
+    ``next`` ends n runs and is inside of others. what 2: a text's end."""
+    seen: dict[tuple[int, str, int], int] = {}
+    words: dict[str, list[int]] = {}
+    row_types = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
+    row_names = [x.split()[0] for x in _ROW.split(", ")]
+    last_types = [_LAST_TYPES[x.split()[1]] for x in _LAST.split(", ")]
+    ident_type = None
+
+    def rows() -> pa.RecordBatch:
+        keys, ws = list(seen), list(words)
+        columns = [
+            [0] * len(keys) + [1] * len(ws), [k[0] for k in keys] + [None] * len(ws), [k[1] for k in keys] + ws, [k[2] for k in keys] + [None] * len(ws),
+            list(seen.values()) + [words[x][0] for x in ws], [None] * len(keys) + [words[x][1] for x in ws],
+        ]
+        n = len(keys) + len(ws)
+        arrays = [pa.array(c, t) for c, t in zip(columns, row_types)] + [pa.nulls(n, ident_type)] + [pa.nulls(n, t) for t in last_types]
+        seen.clear()
+        words.clear()
+        return pa.RecordBatch.from_arrays(arrays, names=[*row_names, "ident", *_LAST_NAMES])
 
-def _asked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = [_LAST_TYPES[x.split()[1]] for x in _LAST.split(", ")]
     for batch in batches:
-        ids, out = batch.column(0), [last_segment(t) for t in batch.column(1).to_pylist()]
-        keep = pa.array([o is not None for o in out])
-        rows = [o for o in out if o is not None]
-        yield pa.RecordBatch.from_arrays([ids.filter(keep), *[pa.array([r[n] for r in rows], k) for n, k in zip(_LAST_NAMES, kinds)]], names=["ident", *_LAST_NAMES])
+        ident_type = batch.schema.types[0]
+        keep, ends = [], []
+        for at, text in enumerate(batch.column(1).to_pylist()):
+            bare, broken = _strip(text)
+            parts = segments(bare)
+            raw: list[tuple[str, str]] = []
+            for i, segment in enumerate(parts):
+                last = i == len(parts) - 1
+                raw = _raw(segment)
+                end = 2 if last else 1
+                for k, p in _entries(raw):
+                    e = (k, p, 0 if p != END else end)
+                    seen[e] = seen.get(e, 0) + 1
+                _count_words(raw, last, words)
+            asked = _asked(text, bare, broken, parts[-1], raw) if parts else None
+            if asked is not None:
+                keep.append(at)
+                ends.append(asked)
+            if len(seen) + len(words) > COMBINED:
+                yield rows()
+        n = len(keep)
+        if n:
+            ids = batch.column(0).take(pa.array(keep, pa.int64()))
+            arrays = [pa.array([2] * n, pa.int32())] + [pa.nulls(n, t) for t in row_types[1:]] + [ids] + [pa.array([r[c] for r in ends], t) for c, t in zip(_LAST_NAMES, last_types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=[*row_names, "ident", *_LAST_NAMES])
+    if seen or words:
+        yield rows()
 
 
 def cut_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
@@ -239,10 +247,9 @@ def cut_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
     """
     texts = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
     kind = df.select(ident).schema[0].dataType.simpleString()
-    only = texts.select(F.col(text).alias("text"))
-    trie = only.mapInArrow(_index, "key bigint, next string, kind int, n bigint").groupBy("key", "next", "kind").agg(F.sum("n").alias("n"))
-    trie = stored(trie, "prefixes")
-    asked = stored(texts.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(_asked, f"ident {kind}, {_LAST}"), "ends")
+    read = stored(texts.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(_read, f"{_ROW}, ident {kind}, {_LAST}"), "read")
+    trie = stored(read.where("what = 0").groupBy("key", "next", F.col("follows").alias("kind")).agg(F.sum("n").alias("n")), "prefixes")
+    asked = read.where("what = 2").select("ident", *_LAST_NAMES)
     spelled = asked.select(
         "ident", "kind",
         F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"k{v}").alias("k"), F.col(f"p{v}").alias("p"), F.col(f"t{v}").alias("t")) for v in (2, 1)])).alias("s"),
@@ -271,7 +278,7 @@ def cut_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
 
     # Join on the last word: does it stand elsewhere at the end of a name, or as a beginning only.
     last_words = asked.where("kind in ('name', 'ident', 'word')").select("word").distinct()
-    words = stored(only.mapInArrow(_words, "word string, ends bigint, inside bigint").groupBy("word").agg(F.sum("ends").alias("ends"), F.sum("inside").alias("inside")), "words")
+    words = stored(read.where("what = 1").groupBy(F.col("next").alias("word")).agg(F.sum("n").alias("ends"), F.sum("inside").alias("inside")), "words")
     begins = words.where("length(word) between 2 and 64").select(F.explode(F.expr("transform(sequence(1, length(word) - 1), i -> left(word, i))")).alias("word")).join(last_words, "word", "left_semi").distinct().withColumn("begins", F.lit(True))
     about = last_words.join(words, "word", "left").join(begins, "word", "left").na.fill({"ends": 0, "inside": 0, "begins": False})
 
