@@ -133,11 +133,11 @@ def h5(spark, d):
     return table(spark, d, "edges").where("source is not null and target is not null").select("edge_id", F.concat(F.lower("source"), F.lit("→"), F.lower("target")).alias("key"))
 
 
-@query("H6_payload_text", "SELECT edge_id, CASE WHEN starts_with(answer_payload, '{\"text\": \"') THEN regexp_extract(answer_payload, '^\\{\"text\": \"(.*)\"\\}$', 1) ELSE answer_payload END AS text FROM edges WHERE answer_payload IS NOT NULL AND NOT contains(answer_payload, '\\')")
+@query("H6_payload_text", "SELECT edge_id, CASE WHEN starts_with(answer_payload, '{') AND json_valid(answer_payload) THEN coalesce(json_extract_string(answer_payload, '$.text'), answer_payload) ELSE answer_payload END AS text FROM edges WHERE answer_payload IS NOT NULL")
 def h6(spark, d):
     p = F.col("answer_payload")
-    text = F.when(p.startswith('{"text": "'), F.coalesce(F.get_json_object(p, "$.text"), p)).otherwise(p)
-    return table(spark, d, "edges").where(p.isNotNull() & ~p.contains("\\")).select("edge_id", text.alias("text"))
+    text = F.when(p.startswith("{"), F.coalesce(F.get_json_object(p, "$.text"), p)).otherwise(p)
+    return table(spark, d, "edges").where(p.isNotNull()).select("edge_id", text.alias("text"))
 
 
 @query("H8_rewarded", "SELECT result_id, conf IS NOT NULL AND NOT isnan(conf) AS rewarded, conf IS NOT NULL AND NOT isnan(conf) AND conf > 0.5 AS positive FROM results")
