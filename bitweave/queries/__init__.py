@@ -1,3 +1,3 @@
 """Registered queries of the core. Importing the modules fills the catalog."""
 
-from bitweave.queries import algebra, analysis, graph, models, reasoning, stores, texts  # noqa: F401
+from bitweave.queries import algebra, analysis, extras, graph, models, reasoning, stores, texts  # noqa: F401
