@@ -156,6 +156,11 @@ def _count_words(raw: list[tuple[str, str]], last: bool, seen: dict[str, list[in
         seen.setdefault(text[:-1] if stop else text, [0, 0])[goes_on] += 1
 
 
+def _same(bare: str) -> int:
+    """Equal for texts that differ only in what was set at their end: blanks, marks or a full stop."""
+    return xxhash.xxh64_intdigest(_STOP.sub("", unicodedata.normalize("NFC", bare))) - (1 << 63)
+
+
 def _asked(text: str, bare: str, broken: bool, segment: str, raw: list[tuple[str, str]]) -> dict | None:
     """What is asked about a text's end, of its last segment; None for one without a token."""
     if not raw:
@@ -176,19 +181,19 @@ def _asked(text: str, bare: str, broken: bool, segment: str, raw: list[tuple[str
         return None
     first = asked[0]
     second = asked[1] if len(asked) > 1 else (None, None, None, None)
-    return {"broken": broken, "mark": bare != _TAIL.sub("", text), "stop": stop, "kind": kind, "word": word, "k1": first[0], "p1": first[1], "t1": first[2], "w1": first[3], "k2": second[0], "p2": second[1], "t2": second[2], "w2": second[3]}
+    return {"same": _same(bare), "broken": broken, "mark": bare != _TAIL.sub("", text), "stop": stop, "kind": kind, "word": word, "k1": first[0], "p1": first[1], "t1": first[2], "w1": first[3], "k2": second[0], "p2": second[1], "t2": second[2], "w2": second[3]}
 
 
-_LAST = "broken boolean, mark boolean, stop boolean, kind string, word string, k1 bigint, p1 bigint, t1 string, w1 string, k2 bigint, p2 bigint, t2 string, w2 string"
+_LAST = "same bigint, broken boolean, mark boolean, stop boolean, kind string, word string, k1 bigint, p1 bigint, t1 string, w1 string, k2 bigint, p2 bigint, t2 string, w2 string"
 _LAST_NAMES = [x.split()[0] for x in _LAST.split(", ")]
 _LAST_TYPES = {"boolean": pa.bool_(), "string": pa.string(), "bigint": pa.int64()}
 _ROW = "what int, key bigint, next string, follows int, n bigint, inside bigint"
 
 
 def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One pass over the texts. what 0: n times ``next`` follows the prefix ``key``: a token (follows
-    0), the end of a segment known to be whole (1), or the end of a text (2). what 1: the word
-    ``next`` ends n runs and is inside of others. what 2: a text's end."""
+    """One pass over the distinct texts. what 0: n times ``next`` follows the prefix ``key``: a token
+    (follows 0), or the end of a segment known to be whole (1). what 1: the word ``next`` ends n runs
+    and is inside of others. what 2: a text's end."""
     seen: dict[tuple[int, str, int], int] = {}
     words: dict[str, list[int]] = {}
     row_types = [pa.int32(), pa.int64(), pa.string(), pa.int32(), pa.int64(), pa.int64()]
@@ -218,10 +223,10 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for i, segment in enumerate(parts):
                 last = i == len(parts) - 1
                 raw = _raw(segment)
-                end = 2 if last else 1
                 for k, p in _entries(raw):
-                    e = (k, p, 0 if p != END else end)
-                    seen[e] = seen.get(e, 0) + 1
+                    if p != END or not last:
+                        e = (k, p, int(p == END))
+                        seen[e] = seen.get(e, 0) + 1
                 _count_words(raw, last, words)
             asked = _asked(text, bare, broken, parts[-1], raw) if parts else None
             if asked is not None:
@@ -242,23 +247,26 @@ def cut_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
     """The ``ident`` of every row whose text was cut, so that it ends inside a word or a sentence.
 
     Null, empty and blank texts are not cut. A mark set at the cut ("...", a broken character) does
-    not make a text complete, a missing full stop does not make it cut. Texts are read whole, and
-    repeated ones are judged alike. Other columns are not read.
+    not make a text complete, a missing full stop does not make it cut. Texts are read whole.
+    Repeated ones are judged alike and count once, so that copies do not vouch for each other. Other
+    columns are not read.
     """
     texts = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
-    kind = df.select(ident).schema[0].dataType.simpleString()
-    read = stored(texts.select(F.col(ident).alias("ident"), F.col(text).alias("text")).mapInArrow(_read, f"{_ROW}, ident {kind}, {_LAST}"), "read")
+    once = texts.select(F.col(text).alias("text")).distinct().select(F.md5("text").alias("ident"), "text")
+    read = stored(once.mapInArrow(_read, f"{_ROW}, ident string, {_LAST}"), "read")
     trie = stored(read.where("what = 0").groupBy("key", "next", F.col("follows").alias("kind")).agg(F.sum("n").alias("n")), "prefixes")
     asked = read.where("what = 2").select("ident", *_LAST_NAMES)
     spelled = asked.select(
-        "ident", "kind",
+        "ident", "kind", "same",
         F.explode(F.array(*[F.struct(F.lit(v).alias("v"), F.col(f"k{v}").alias("k"), F.col(f"p{v}").alias("p"), F.col(f"t{v}").alias("t")) for v in (2, 1)])).alias("s"),
-    ).select("ident", "kind", "s.*").where("k is not null")
+    ).select("ident", "kind", "same", "s.*").where("k is not null")
 
     # Join on the whole segment: does it end elsewhere, does it go on.
     wanted = spelled.select(F.col("k").alias("key")).distinct()
     n = lambda cond: F.sum(F.when(cond, F.col("n")).otherwise(0))
-    whole = trie.join(wanted, "key", "left_semi").groupBy("key").agg(n(F.col("kind") == 0).alias("more"), n(F.col("kind") == 1).alias("whole"), n(F.col("kind") == 2).alias("last"))
+    whole = trie.join(wanted, "key", "left_semi").groupBy("key").agg(n(F.col("kind") == 0).alias("more"), n(F.col("kind") == 1).alias("whole"))
+    # Texts that end with the segment, whatever mark is set there.
+    ends = spelled.groupBy("k").agg(F.count_distinct("same").alias("last"))
     # Join on all but the last token: is that one the beginning of a longer token.
     probes = spelled.select("p", "t", "kind").distinct()
     initial = lambda c: F.lower(F.substring(F.regexp_replace(c, "^\\^", ""), 1, 1))
@@ -271,7 +279,7 @@ def cut_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
     parts = probes.join(follows, ["p", "c"]).groupBy("p", "t", "kind").agg(
         n(longer & ~integer).alias("longer"), n(number & (F.length("next") > F.length("t"))).alias("long_numbers"), n(number).alias("numbers")
     ).withColumn("part", (F.col("longer") > 0) | (F.col("long_numbers") * 10 > F.col("numbers") * 9) & (F.col("numbers") > 10)).select("p", "t", "kind", "part")
-    seen = spelled.join(whole.withColumnRenamed("key", "k"), "k", "left").join(parts, ["p", "t", "kind"], "left").na.fill({"more": 0, "whole": 0, "last": 0, "part": False})
+    seen = spelled.join(ends, "k").join(whole.withColumnRenamed("key", "k"), "k", "left").join(parts, ["p", "t", "kind"], "left").na.fill({"more": 0, "whole": 0, "part": False})
     # The pattern that spells out the first word goes before the other, where the corpus knows it.
     known = (F.col("more") > 0) | (F.col("whole") > 0) | (F.col("last") > 1) | F.col("part")
     judged = seen.groupBy("ident").agg(F.max(F.struct(known, "v", "more", "whole", "last", "part")).alias("e")).select("ident", "e.more", "e.whole", "e.last", "e.part")
@@ -292,7 +300,8 @@ def cut_texts(df: DataFrame, ident: str, text: str) -> DataFrame:
         .when(is_whole, named & unfinished & ~F.col("stop")).when(goes_on, True)
         .otherwise(F.col("kind").isin("name", "ident", "word") & unfinished)
     )
-    return found.where(is_cut).select(F.col("ident").alias(ident)).distinct()
+    cut_once = found.where(is_cut).select(F.col("ident").alias("digest"))
+    return texts.select(F.col(ident), F.md5(F.col(text)).alias("digest")).join(cut_once, "digest", "left_semi").select(ident).distinct()
 
 
 def cut_shares(df: DataFrame, ident: str, text: str, source: str) -> DataFrame:

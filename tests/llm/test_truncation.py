@@ -29,6 +29,15 @@ def test_defined_cases(spark):
     assert got == {"a": (5, 1), None: (5, 2)}
 
 
+def test_copies_of_a_cut_text_do_not_vouch_for_it(spark):
+    cut = "The planner chose Ada Lovela as the anchor because the"
+    assert found(spark, WHOLE + [cut] * 6) == set(range(4, 10))
+    assert found(spark, WHOLE + [cut, cut + "…", cut + " ...", cut + " [truncated]", cut + "\n"] * 2) == set(range(4, 14))
+    # Nor do copies of a longer text speak against an end that other texts have.
+    ends = [f"Note {x} of the day: all is well\nThe ferry leaves" for x in ("one", "two", "six", "ten")]
+    assert found(spark, ends + ["The ferry leaves at noon."] * 9) == set()
+
+
 def test_segments_and_patterns():
     assert segments("One two. Three!\r\n1. four\nJ. Smith came. 五。六") == ["One two.", "Three!", "1. four", "J. Smith came.", "五。", "六"]
     assert [p for p, _ in tokens("Ask Bob J. Smith about store_queue, 12.5 times.")] == ["N", "about", "I", ",", "00.0", "times", "."]
