@@ -26,9 +26,19 @@ def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ends.unionByName(triple.select(F.explode(F.array(F.get("t", F.lit(0)), third)).alias("x"))).select(name_key(F.col("x")).alias("name")).distinct()
 
 
+def _name_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    others = table(spark, sf_dir, "ref_entities").where("kind in ('work', 'place')")
+    return names.link_names(name_keys(spark, sf_dir), "name", others, "canon_name")
+
+
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of different name keys of one person or organisation."""
-    return names.pairs_of(names.link_names(name_keys(spark, sf_dir), "name"))
+    return names.pairs_of(_name_groups(spark, sf_dir))
+
+
+def p1_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership instead of pairs: every linked name key with the one that stands for its group."""
+    return _name_groups(spark, sf_dir)
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -183,7 +193,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares}
 
 
 def oracle_sql() -> dict[str, str]:
