@@ -154,6 +154,11 @@ def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return truncation.cut_shares(table(spark, sf_dir, "documents"), "doc_id", "text", "source")
 
 
+def p8_branches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many distinct texts each branch of the decision judges, and how many of them as cut."""
+    return truncation.judged_texts(table(spark, sf_dir, "documents"), "text").groupBy("branch").agg(F.count("*").alias("texts"), F.count_if("cut").alias("cut"))
+
+
 _P4_BASE = """
  e AS (SELECT edge_id, lower(trim(source)) AS s, lower(trim(target)) AS t, version,
         answer_payload, bridge_chunk, provenance, last_seen,
@@ -193,7 +198,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_branches": p8_branches}
 
 
 def oracle_sql() -> dict[str, str]:
