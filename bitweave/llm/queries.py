@@ -104,10 +104,9 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivor.best_bundles(edges, keys, F.col("edge_id"), _edge_bundles()).drop("k0", "k1")
 
 
-def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The suppliers of the surviving record where the version determines the texts: payload,
-    chunk and provenance are taken together, from a record of the version that is chosen."""
-    edges = table(spark, sf_dir, "edges")
+def _dependent_bundles(spark: SparkSession, sf_dir: str) -> tuple:
+    """The version determines the texts: payload, chunk and provenance are taken together, from a
+    record of the version that is chosen. A version is worth its number, a text a point per field."""
     keys = [name_key(F.col("source")), name_key(F.col("target"))]
     filled = sum((F.col(c).isNotNull().cast("bigint") for c in ("bridge_chunk", "provenance")), F.lit(1))
     version = F.col("version")
@@ -116,7 +115,17 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
         survivor.Bundle("version", ("version",), version.between(1, (1 << 30) - 1), version.cast("bigint")),
         survivor.Bundle("text", ("answer_payload", "bridge_chunk", "provenance"), F.col("answer_payload").isNotNull(), filled),
     ]
-    return survivor.consistent_bundles(edges, keys, F.col("edge_id"), bundles, "version", version, "text").drop("k0", "k1")
+    return table(spark, sf_dir, "edges"), keys, F.col("edge_id"), bundles, "version", version, "text"
+
+
+def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The suppliers of the surviving record where the version determines the texts."""
+    return survivor.consistent_bundles(*_dependent_bundles(spark, sf_dir)).drop("k0", "k1")
+
+
+def p4_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How much of the search for p4_survivors the root settles and the bound cuts."""
+    return survivor.search_effort(*_dependent_bundles(spark, sf_dir))
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -198,7 +207,7 @@ FROM g LEFT JOIN rc ON rc.s = g.s AND rc.t = g.t AND rc.n = 1 LEFT JOIN ru ON ru
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_branches": p8_branches}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p2_found": p2_found, "p2_forms": p2_forms, "p3_found": p3_found, "p3_unmatched": p3_unmatched, "p4_found": p4_found, "p4_survivors": p4_survivors, "p4_search": p4_search, "p5_found": p5_found, "p6_ids": p6_ids, "p7_packed": p7_packed, "p7_fill": p7_fill, "p8_found": p8_found, "p8_shares": p8_shares, "p8_branches": p8_branches}
 
 
 def oracle_sql() -> dict[str, str]:

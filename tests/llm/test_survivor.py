@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from bitweave.llm.survivor import Bundle, best_bundles, consistent_bundles
+from bitweave.llm.survivor import Bundle, best_bundles, consistent_bundles, search_effort
 
 SCHEMA = "a string, b string, id long, x long, v long, t long, k0 int, n int, group_id int"
 
@@ -59,3 +59,12 @@ def test_empty_and_repeated(spark):
     assert best_bundles(frame(spark, []), [F.col("a"), F.col("b")], F.col("id"), bundles()).count() == 0
     got = best_bundles(frame(spark, [("p", "r", 5, 1, 1, 1)] * 2), [F.col("a"), F.col("b")], F.col("id"), bundles()).collect()
     assert [(r["group_id"], r["x_from"]) for r in got] == [(5, 5)]
+
+
+def test_branches_are_cut(spark):
+    # p: the root takes version 9 and the text of version 5, which do not agree; 8 and 5 may be better, 1 cannot.
+    rows = [("p", "r", 1, 1, 9, 1), ("p", "r", 2, 1, 8, 3), ("p", "r", 3, 1, 5, 6), ("p", "r", 4, 1, 1, 2), ("q", "r", 5, 1, 4, 7), ("q", "r", 6, 1, 3, 2), ("s", "r", 7, 1, None, 2), ("s", "r", 8, 1, None, 1)]
+    args = (frame(spark, rows), [F.col("a"), F.col("b")], F.col("id"), bundles(), "v", F.col("v"), "t")
+    assert tuple(search_effort(*args).first()) == (3, 2, 6, 4)
+    got = {r["group_id"]: (r["v_from"], r["t_from"]) for r in consistent_bundles(*args).collect()}
+    assert got == {1: (2, 2), 5: (5, 5), 7: (-1, 7)}
