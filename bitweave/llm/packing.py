@@ -173,14 +173,14 @@ def pack(sizes: DataFrame, ident: str, size: str, containers: DataFrame, name: s
     several times, so it should be a stored table.
     """
     kinds = [(r[0], int(r[1])) for r in containers.select(name, capacity).where(F.col(capacity) > 0).distinct().collect()]
-    if len(kinds) > 64 or any(c > MOST_CAPACITY for _, c in kinds):
-        raise ValueError("too many or too large containers for plans on the driver")
+    if any(c > MOST_CAPACITY for _, c in kinds):
+        raise ValueError("too large containers for a plan on the driver")
     spark = sizes.sparkSession
-    offered = spark.createDataFrame([(k, c) for k, (_, c) in enumerate(kinds)], "kind int, capacity bigint")
+    offered = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(c).cast("bigint").alias("capacity")) for k, (_, c) in enumerate(kinds)])) if kinds else F.explode(F.expr("cast(array() as array<struct<kind: int, capacity: bigint>>)"))
     labels = spark.createDataFrame([(k, n) for k, (n, _) in enumerate(kinds)], f"kind int, container {dict(containers.dtypes)[name]}")
     items = sizes.select(F.col(ident).alias("ident"), F.greatest(F.coalesce(F.col(size).cast("bigint"), F.lit(0)), F.lit(0)).alias("size"))
     # Full pieces have containers of their own; a rest, or an item that fits, is packed.
-    rests = items.crossJoin(F.broadcast(offered)).select(
+    rests = items.withColumn("o", offered).select("o.*", "ident", "size").select(
         "kind", "capacity", "ident", "size", F.expr("size div capacity").alias("full"),
         F.expr("size % capacity").alias("length"),
     )
@@ -201,8 +201,14 @@ def pack(sizes: DataFrame, ident: str, size: str, containers: DataFrame, name: s
     offsets = groups.withColumn("offset", F.coalesce(F.sum("n").over(before), F.lit(0))).select("kind", "length", "salt", "offset")
     own = Window.partitionBy("kind", "length", "salt").orderBy("ident", "size")
     ranked = salted.withColumn("nth", F.row_number().over(own)).join(offsets, ["kind", "length", "salt"]).withColumn("rank", F.col("offset") + F.col("nth") - 1)
-    runs_ = F.broadcast(spark.createDataFrame(rows, "kind int, length bigint, low bigint, high bigint, first bigint, each bigint"))
-    put = ranked.where("length > 0").join(runs_, ["kind", "length"]).where("rank >= low and rank < high")
+    # The runs of a length as one array in order of rank: the plan has no more of them than its
+    # capacity allows, whatever the corpus; a row finds its run by halving.
+    plan_ = spark.createDataFrame(rows, "kind int, length bigint, low bigint, high bigint, first bigint, each bigint")
+    runs_ = plan_.groupBy("kind", "length").agg(F.sort_array(F.collect_list(F.struct("low", "first", "each"))).alias("runs"))
+    half = "cast((s.a + s.b + 1) div 2 as int)"
+    step = f"if(s.a = s.b, s, if(runs[{half}].low <= rank, named_struct('a', {half}, 'b', s.b), named_struct('a', s.a, 'b', {half} - 1)))"
+    found = F.expr(f"aggregate(sequence(1, cast(ceil(log2(size(runs))) as int) + 1), named_struct('a', 0, 'b', size(runs) - 1), (s, x) -> {step}).a")
+    put = ranked.where("length > 0").join(F.broadcast(runs_), ["kind", "length"]).withColumn("run", F.expr("runs")[found]).select("*", "run.low", "run.first", "run.each")
     rest = put.select("kind", F.expr("first + (rank - low) div each").alias("bin"), "ident", F.col("full").cast("int").alias("piece"), F.expr("full * capacity").alias("start"), F.col("length").alias("tokens"))
     none = rests.where("size = 0").select("kind", F.lit(0).cast("bigint").alias("bin"), "ident", F.lit(0).alias("piece"), F.lit(0).cast("bigint").alias("start"), F.lit(0).cast("bigint").alias("tokens"))
     out = rest.unionByName(none)
@@ -213,7 +219,7 @@ def pack(sizes: DataFrame, ident: str, size: str, containers: DataFrame, name: s
         offs = sums.withColumn("offset", F.coalesce(F.sum("n").over(Window.partitionBy("kind").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("kind", "salt", "offset")
         within = F.sum("full").over(Window.partitionBy("kind", "salt").orderBy("ident", "size").rowsBetween(Window.unboundedPreceding, -1))
         base = spark.createDataFrame(list(packed.items()), "kind int, base bigint")
-        big = big.withColumn("within", F.coalesce(within, F.lit(0))).join(F.broadcast(offs), ["kind", "salt"]).join(F.broadcast(base), "kind")
+        big = big.withColumn("within", F.coalesce(within, F.lit(0))).join(offs, ["kind", "salt"]).join(F.broadcast(base), "kind")
         pieces = big.withColumn("piece", F.explode(F.expr("sequence(0, cast(full as int) - 1)")))
         out = out.unionByName(pieces.select("kind", (F.col("base") + F.col("offset") + F.col("within") + F.col("piece")).alias("bin"), "ident", "piece", F.expr("piece * capacity").alias("start"), F.col("capacity").alias("tokens")))
     return out.join(F.broadcast(labels), "kind").select("container", "bin", F.col("ident").alias(ident), "piece", "start", "tokens")
