@@ -68,10 +68,26 @@ def prototypes(spark: SparkSession) -> dict[int, str]:
             to = new
         if to != c:
             table[ord(c)] = to
+    _keep_case(table, points)
     spark._bitweave_prototypes = table
     return table
 
 
+def _keep_case(table: dict[int, str], points: list[str]) -> None:
+    """Case is a difference in look: where a letter has the prototype of its own capital, and that is
+    none of ASCII, capitals and small letters of that look get prototypes of their own."""
+    proto = lambda c: table.get(ord(c), c)
+    both = {proto(c) for c in points if len(c.lower()) == 1 and c.lower() != c and proto(c) == proto(c.lower())}
+    both -= {proto(chr(p)) for p in range(128)}
+    alike: dict[tuple[str, str], list[str]] = {}
+    for c in points:
+        if proto(c) in both and (kind := unicodedata.category(c)) in ("Lu", "Ll"):
+            alike.setdefault((proto(c), kind), []).append(c)
+    for letters in alike.values():
+        for c in letters:
+            table[ord(c)] = letters[0]
+
+
 def skeleton(text: str, table: dict[int, str]) -> str:
     """Skeleton of one text, composed. Idempotent."""
     text = unicodedata.normalize("NFD", text).translate(table)

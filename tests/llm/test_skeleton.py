@@ -6,7 +6,7 @@ SAME = [("Ａcting　Ｅditor", "Acting Editor"), ("Na​me", "Name"), ("Čavli
         ("a b", "a b"), ("Linaﬂagim", "Linaflagim"), ("Final Ⅱ", "Final II"), ("ﾃｺｹ", "テコケ"), ("x ", "x"), ("25 µm", "25 μm"), ("Café‑M", "Café-M"), ("１８", "18")]
 #: Look-alikes of other scripts: phonetic letters, Armenian, Cherokee, Coptic, small capitals, signs.
 SAME += [(f"x{a}y", f"x{b}y") for a, b in ("ɑa", "օo", "ᎠD", "ᎪA", "ⲟo", "ᴄc", "ոn", "ɡg", "ıi", "τᴛ", "∣l", "lI", "0O", "1l", "—ー", "ѕs", "ρp")]
-OTHER = [("Peñora", "Penora"), ("9² plate", "92 plate"), ("ABC", "abc"), ("½ mile", "1/2 mile"), ("a-b", "a b"), ("Веk", "Bek2"), ("", "a"), ("Товар", "товар")]
+OTHER = [("Peñora", "Penora"), ("9² plate", "92 plate"), ("ABC", "abc"), ("½ mile", "1/2 mile"), ("a-b", "a b"), ("Веk", "Bek2"), ("", "a"), ("Товар", "товар"), ("Θεν", "θεν"), ("Ѳ", "ѳ")]
 
 
 @pytest.mark.parametrize("a,b", SAME)
