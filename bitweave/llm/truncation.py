@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bitweave.session import stored
+from bitweave.session import spread, stored
 
 #: Rows that a task combines before it passes them on.
 COMBINED = 300_000
@@ -293,6 +293,8 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 #: Letters up to which every beginning of a word is an entry of the index; longer ones share the first ones.
 LETTERS = 64
+#: Rows of 20 bytes up to which the lengths asked are sent to every task; beyond, texts are shuffled.
+SENT = 200_000
 
 
 def _beginnings(asked: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
@@ -308,24 +310,25 @@ def _beginnings(asked: DataFrame, words: DataFrame, keys: list[str]) -> DataFram
     return found.unionByName(far).groupBy(*keys, "t").agg(F.sum("n").alias("n"))
 
 
-def prefix_of_longer(texts: DataFrame) -> DataFrame:
-    """The distinct ``ident`` of ``texts`` (ident, text) that are strict prefixes of longer texts that
-    go on in the same line, not just with a full stop.
+def prefix_of_longer(asking: DataFrame, texts: DataFrame) -> DataFrame:
+    """The distinct ``ident`` of ``asking`` (ident, text) that are strict prefixes of longer ones among
+    ``texts`` (text, distinct, a stored table) that go on in the same line, not just with a full stop.
 
     A text has an entry for the hash of its first 2**i letters, for every i. Of a text of n letters
     the entry of the largest 2**i <= n asks all texts with that entry for the hash of their first n
     letters; those are compared with the hash of the whole. A text that is asked for one length by
     many answers once, so headers that many texts share cost a row per length asked and text."""
-    size = texts.select("ident", "text", F.length("text").alias("size")).where("size > 0")
-    power = F.expr("cast(floor(log2(size)) as int)")
-    own = size.withColumn("i", power).select("ident", "size", "i", F.xxhash64(F.expr("left(text, shiftleft(1, i))")).alias("h"), F.xxhash64("text").alias("whole"))
-    entries = size.withColumn("i", F.explode(F.sequence(F.lit(0), power))).select("ident", "size", "i", F.xxhash64(F.expr("left(text, shiftleft(1, i))")).alias("h"))
-    lengths = own.select("i", "h", F.col("size").alias("n")).distinct()
-    # An entry that only one length asks for, its own, is asked for nothing.
-    asked = entries.join(lengths, ["i", "h"]).where("n < size").select("ident", "n").distinct()
+    begun = F.xxhash64(F.expr("left(text, shiftleft(1, i))")).alias("h")
+    own = stored(asking.withColumn("n", F.length("text")).where("n > 0").withColumn("i", F.expr("cast(floor(log2(n)) as int)")).select("ident", "n", "i", begun, F.xxhash64("text").alias("whole")), "asking")
+    entries = texts.select("text", F.length("text").alias("size")).where("size > 1").withColumn("i", F.explode(F.expr("sequence(0, cast(floor(log2(size)) as int))")))
+    entries = entries.select(F.xxhash64("text").alias("of"), "size", "i", begun)
+    asked = stored(entries.join(own.select("i", "h", "n").distinct(), ["i", "h"]).where("n < size").select("of", "size", "n").distinct(), "asked")
+    if asked.count() <= SENT:
+        asked = F.broadcast(asked)
     after = F.expr("substring(text, n + 1, 64)")
-    answers = asked.join(size, "ident").where(after.rlike(r"^[ \t]*[^\s.。…]")).select("n", F.xxhash64(F.expr("left(text, n)")).alias("whole")).distinct()
-    return own.withColumnRenamed("size", "n").join(answers, ["n", "whole"], "left_semi").select("ident").distinct()
+    hashed = texts.select("text", F.xxhash64("text").alias("of"), F.length("text").alias("size"))
+    answers = hashed.join(asked, ["of", "size"]).where(after.rlike(r"^[ \t]*[^\s.。…]")).select("n", F.xxhash64(F.expr("left(text, n)")).alias("whole")).distinct()
+    return own.join(answers, ["n", "whole"], "left_semi").select("ident").distinct()
 
 
 def judged_texts(df: DataFrame, text: str) -> DataFrame:
@@ -335,8 +338,8 @@ def judged_texts(df: DataFrame, text: str) -> DataFrame:
     goes on, elsewhere) or word (only the last word tells).
     """
     texts = df.where(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
-    once = texts.select(F.col(text).alias("text")).distinct().select(F.md5("text").alias("ident"), "text")
-    read = stored(once.mapInArrow(_read, f"{_ROW}, ident string, {_LAST}"), "read")
+    once = stored(texts.select(F.col(text).alias("text")).distinct().select(F.md5("text").alias("ident"), "text"), "texts")
+    read = stored(spread(once).mapInArrow(_read, f"{_ROW}, ident string, {_LAST}"), "read")
     trie = stored(read.where("what = 0").groupBy("key", "next", F.col("follows").alias("kind")).agg(F.sum("n").alias("n")), "prefixes")
     asked = read.where("what = 2").select("ident", *_LAST_NAMES)
     spelled = asked.select(
@@ -345,9 +348,8 @@ def judged_texts(df: DataFrame, text: str) -> DataFrame:
     ).select("ident", "kind", "same", "s.*").where("k is not null")
 
     # Join on whole values.
-    bare = once.join(asked.where("not broken and (mark or not stop)").select("ident", "bare"), "ident").select("ident", F.expr("left(text, bare)").alias("text"))
-    longer_copies = once.select(F.concat(F.lit("+"), "ident").alias("ident"), "text").unionByName(bare)
-    copies = prefix_of_longer(longer_copies).where("ident not like '+%'").withColumn("copy", F.lit(True))
+    open_ = asked.where("not broken and (mark or not stop)").select("ident", "bare")
+    copies = prefix_of_longer(once.join(open_, "ident").select("ident", F.expr("left(text, bare)").alias("text")), once.select("text")).withColumn("copy", F.lit(True))
 
     # Join on the whole segment: does it end elsewhere, does it go on.
     wanted = spelled.select(F.col("k").alias("key")).distinct()

@@ -56,7 +56,7 @@ def test_prefixes_of_longer_texts(spark):
     r = random.Random(4)
     texts = ["".join(r.choice("ab ") for _ in range(r.randint(1, 12))) for _ in range(150)] + ["x" * 5000, "x" * 4999, "x" * 70 + "\ny", "x" * 70]
     df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "ident string, text string")
-    got = {int(x["ident"]) for x in prefix_of_longer(df).collect()}
+    got = {int(x["ident"]) for x in prefix_of_longer(df, df.select('text').distinct()).collect()}
     on = lambda t, u: len(u) > len(t) and u.startswith(t) and re.match(r"[ \t]*[^\s.。…]", u[len(t) : len(t) + 64])
     assert got == {i for i, t in enumerate(texts) if any(on(t, u) for u in texts)}
 
