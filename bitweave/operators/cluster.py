@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from bitweave.functions import words as w
 from bitweave.operators.bundle import bundle
+from bitweave.operators.store import blocks
 from bitweave.session import cut
 
 
@@ -17,19 +18,30 @@ def prototypes(entries: DataFrame, route: str, state: str, words: int) -> DataFr
 
 def route(entries: DataFrame, routes: DataFrame, name: str, ident: str, state: str, words: int) -> DataFrame:
     """(ident, route, dist): the nearest prototype of every entry, ties by name; without any
-    prototype ("_none_", -1). Routes are few (their number is checked) and sent to all executors."""
-    if routes.count() > 100_000:
-        raise ValueError("too many routes to send to every executor")
-    near = entries.join(F.broadcast(routes.select(F.col(name).alias("_name"), "proto")), how="cross")
-    best = near.groupBy(ident).agg(F.min(F.struct(w.hamming(F.col(state), F.col("proto"), words).alias("dist"), "_name")).alias("b"))
+    prototype ("_none_", -1). Routes are counted and sent to all executors block by block."""
+    best = _nearest(entries, routes.select(F.col(name).alias("_name"), "proto"), "_name", ident, state, words)
     found = best.select(ident, F.col("b._name").cast("string").alias("route"), "b.dist")
     return entries.select(ident).join(found, ident, "left").na.fill({"route": "_none_", "dist": -1})
 
 
+def _nearest(entries: DataFrame, prototypes: DataFrame, name: str, ident: str, state: str, words: int) -> DataFrame:
+    """(ident, b): distance and name of the nearest of ``prototypes`` (name, proto), ties by name. Prototypes are
+    broadcast in blocks of a counted size; each task keeps one row per entry and block."""
+    parts = None
+    for block in blocks(prototypes, name):
+        near = entries.join(F.broadcast(block), how="cross")
+        best = near.groupBy(ident).agg(F.min(F.struct(w.hamming(F.col(state), F.col("proto"), words).alias("dist"), name)).alias("b"))
+        parts = best if parts is None else parts.unionByName(best)
+    return parts.groupBy(ident).agg(F.min("b").alias("b"))
+
+
 def leaders(entries: DataFrame, ident: str, state: str, radius: float, words: int) -> DataFrame:
     """(ident, leader): each entry joins the first earlier leader within ``radius``, else leads."""
     later, earlier = entries.select(F.col(ident).alias("j"), F.col(state).alias("y")), entries.select(F.col(ident).alias("i"), F.col(state).alias("x"))
-    near = later.join(earlier, F.col("i") < F.col("j")).where(w.hamming(F.col("x"), F.col("y"), words) <= radius).select("i", "j")
+    near = None
+    for block in blocks(earlier, "i"):  # all against all, a block of the earlier ones at a time; near pairs only leave
+        found = later.join(F.broadcast(block), F.col("i") < F.col("j")).where(w.hamming(F.col("x"), F.col("y"), words) <= radius).select("i", "j")
+        near = found if near is None else near.unionByName(found)
     return first_leaders(entries.select(F.col(ident).alias("id")), near).select(F.col("id").alias(ident), "leader")
 
 
@@ -59,10 +71,7 @@ def refine(entries: DataFrame, members: DataFrame, ident: str, state: str, words
     clusters dropped, final centroids. Returns (members, centroids)."""
     joined = entries.join(members, ident)
     centroids = bundle(joined, ["leader"], state, words, tie="minus", name="proto").drop("n")
-    if centroids.count() > 100_000:
-        raise ValueError("too many clusters to send to every executor")
-    near = entries.join(F.broadcast(centroids), how="cross")
-    best = near.groupBy(ident).agg(F.min(F.struct(w.hamming(F.col(state), F.col("proto"), words).alias("dist"), "leader")).alias("b")).select(ident, F.col("b.leader").alias("leader"))
+    best = _nearest(entries, centroids, "leader", ident, state, words).select(ident, F.col("b.leader").alias("leader"))
     return best, bundle(entries.join(best, ident), ["leader"], state, words, tie="minus", name="proto").drop("n")
 
 
@@ -70,7 +79,11 @@ def two_stage(entries: DataFrame, members: DataFrame, centroids: DataFrame, quer
     """(q, ident, dist, rank): k nearest among the members of the ``probe`` nearest clusters."""
     asked = queries.select(F.col(ident).alias("q"), F.col(state).alias("_q"))
     order = Window.partitionBy("q").orderBy("pd", "leader")
-    near = asked.join(F.broadcast(centroids), how="cross").withColumn("pd", w.hamming(F.col("_q"), F.col("proto"), words))
+    near = None
+    for block in blocks(centroids, "leader"):
+        found = asked.join(F.broadcast(block), how="cross").withColumn("pd", w.hamming(F.col("_q"), F.col("proto"), words))
+        found = found.withColumn("pr", F.row_number().over(order)).where(F.col("pr") <= probe)
+        near = found if near is None else near.unionByName(found)
     chosen = near.withColumn("pr", F.row_number().over(order)).where(F.col("pr") <= probe).select("q", "_q", "leader")
     held = entries.join(members, ident).join(chosen, "leader")
     dist = held.select("q", ident, w.hamming(F.col("_q"), F.col(state), words).alias("dist"))

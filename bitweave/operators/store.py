@@ -7,6 +7,7 @@ stated set of queries against all entries. ``now`` is always a parameter.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -22,7 +23,7 @@ def binarise(values: Column, words: int) -> Column:
     return w.let(F.transform(values, lambda x: (x > 0).cast("int")), lambda b: w.pack(b, words))
 
 
-def _blocks(queries: DataFrame, ident: str) -> list[DataFrame]:
+def blocks(queries: DataFrame, ident: str) -> list[DataFrame]:
     n = queries.count()
     blocks = max(1, -(-n // BLOCK))
     if blocks == 1:
@@ -39,7 +40,7 @@ def knn(entries: DataFrame, queries: DataFrame, ident: str, state: str, k: int,
     """
     order = Window.partitionBy("q").orderBy("dist", ident)
     found = []
-    for block in _blocks(queries, ident):
+    for block in blocks(queries, ident):
         q = F.broadcast(block.select(F.col(ident).alias("q"), F.col(state).alias("_q")))
         pairs = entries.join(q, F.col("q") != F.col(ident)) if others else entries.join(q)
         near = pairs.select("q", ident, w.hamming(F.col("_q"), F.col(state), words).alias("dist"), *(extra or []))
@@ -93,11 +94,12 @@ def lsh_bucket(state: Column, bits: int, words: int) -> Column:
     return w.let(state, one).cast("int")
 
 
-def lsh_candidates(entries: DataFrame, queries: DataFrame, ident: str, state: str, bits: int, words: int) -> DataFrame:
-    """(q, ident, probe, dist): entries in the query's bucket (probe 0) or in one that differs in bit
-    i (probe i + 1). The probes are exploded, so the search is an equi-join on the bucket; no bucket
-    and no query is capped."""
-    probes = F.concat(F.array(F.col("bucket")), F.array(*[F.col("bucket").bitwiseXOR(F.lit(1 << i)) for i in range(bits)]))
+def lsh_candidates(entries: DataFrame, queries: DataFrame, ident: str, state: str, bits: int, words: int, flips: int = 1) -> DataFrame:
+    """(q, ident, probe, dist): entries in the query's bucket (probe 0) or in one that differs in up to
+    ``flips`` bits (the probes that follow, by number of bits and then from the lowest). The probes are
+    exploded, so the search is an equi-join on the bucket; no bucket and no query is capped."""
+    masks = [sum(1 << i for i in c) for n in range(flips + 1) for c in combinations(range(bits), n)]
+    probes = F.transform(F.array(*map(F.lit, masks)), lambda m: F.col("bucket").bitwiseXOR(m))
     asked = queries.select(F.col(ident).alias("q"), F.col(state).alias("_q"), lsh_bucket(F.col(state), bits, words).alias("bucket"))
     asked = asked.select("q", "_q", F.posexplode(probes).alias("probe", "bucket"))
     held = entries.withColumn("bucket", lsh_bucket(F.col(state), bits, words))

@@ -104,10 +104,17 @@ def a14(spark, d):
     return rows.groupBy("fact_id", "atom", "depth").agg((F.count("*") % 2).cast("int").alias("parity")).where("parity = 1")
 
 
-@query("A15_raw_chain", f"WITH {q.MEMORY} SELECT mem, 0 AS left_over FROM tr")
+@query("A15_raw_chain", f"WITH {q.FACTS}, {q.BOOK}, {q.HV}, c AS (SELECT DISTINCT a.mem, a.s, a.r AS r1, b.r AS r2, b.o FROM f a JOIN f b ON a.mem = b.mem AND a.o = b.s WHERE a.o <> a.s AND a.o <> b.o) SELECT c.mem, s, r1, r2, o, {q.ham(q.bind(q.bind('x.v', 'y.v'), 'z.v'), 'u.v')} AS dist FROM c JOIN hv x ON x.name = s JOIN rv y ON y.name = r1 JOIN rv z ON z.name = r2 JOIN hv u ON u.name = o")
 def a15(spark, d):
-    t = mm.traces(facts(spark, d), W)
-    return t.select("mem", w.ones(w.bind(F.col("trace"), F.col("trace"))).alias("left_over"))
+    """Two hops without a cleanup between them: the raw answer of the first is the subject of the second, so
+    the trace is bound twice and cancels. What is left does not depend on the trace (the oracle derives it
+    without one) and is no nearer to the object than chance."""
+    f = facts(spark, d)
+    a, b = f.select("mem", "s", F.col("r").alias("r1"), F.col("o").alias("bridge")), f.select("mem", F.col("s").alias("bridge"), F.col("r").alias("r2"), "o")
+    chains = a.join(b, ["mem", "bridge"]).where("bridge <> s and bridge <> o").select("mem", "s", "r1", "r2", "o").distinct()
+    first = chains.join(mm.traces(f, W), "mem").withColumn("raw", w.bind(F.col("trace"), mm.key(F.col("s"), F.col("r1"), W)))
+    second = w.bind(F.col("trace"), w.bind(F.col("raw"), w.rho(w.item(F.col("r2"), W), 1, W)))
+    return first.select("mem", "s", "r1", "r2", "o", w.hamming(second, w.item(F.col("o"), W), W).alias("dist"))
 
 
 @query("A16_noise", f"""WITH {q.MEMORY} SELECT mem, list_transform(range({W}), lambda i: xor(trace[i + 1], ('0x' || substr(md5('noise#' || mem || '#' || i), 1, 8))::BIGINT & ('0x' || substr(md5('more#' || mem || '#' || i), 1, 8))::BIGINT & ('0x' || substr(md5('most#' || mem || '#' || i), 1, 8))::BIGINT)) AS noisy FROM tr""")

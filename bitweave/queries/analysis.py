@@ -12,7 +12,7 @@ from bitweave.operators import stats
 from bitweave.operators import store as st
 from bitweave.queries import oracle as q
 from bitweave.queries import stores, texts
-from bitweave.session import table
+from bitweave.session import stored, table
 
 _E = stores._E
 
@@ -32,11 +32,19 @@ def i1r(spark, d):
     return hit
 
 
-@query("I2_knowledge_density", "SELECT run_id, round((log2(10) + avg(hit::INT) * log2(10)) / (count(*) * 8.0), 6) AS bits_per_byte FROM results WHERE hit IS NOT NULL GROUP BY run_id")
+_I2 = "CASE WHEN {p} > 0 THEN {p} * log2({p}) ELSE 0 END + {q} * log2({q} / greatest(c - 1, 1))"
+
+
+@query("I2_knowledge_density", "WITH r AS (SELECT run_id, avg(hit::INT) AS a, greatest(1 - avg(hit::INT), 1e-10) AS b, count(DISTINCT gold) AS c, count(*) * 8.0 AS bytes FROM results WHERE hit IS NOT NULL GROUP BY run_id) SELECT run_id, round((CASE WHEN c > 1 THEN log2(c) ELSE 1 END + " + _I2.format(p="a", q="b") + ") / bytes, 6) AS bits_per_byte FROM r")
 def i2(spark, d):
+    """(log2 of the classes - entropy left) / bytes: the entropy left follows from the accuracy p, p log2 p +
+    (1 - p) log2((1 - p) / (classes - 1)), negated. Classes are a run's different gold answers, a state has 8 bytes."""
     r = table(spark, d, "results").where("hit is not null")
-    ten = F.log2(F.lit(10.0))
-    return r.groupBy("run_id").agg(F.round((ten + F.avg(F.col("hit").cast("int")) * ten) / (F.count("*") * 8.0), 6).alias("bits_per_byte"))
+    g = r.groupBy("run_id").agg(F.avg(F.col("hit").cast("int")).alias("a"), F.countDistinct("gold").alias("c"), (F.count("*") * 8.0).alias("bytes"))
+    wrong = F.greatest(1 - F.col("a"), F.lit(1e-10))
+    left = -(F.when(F.col("a") > 0, F.col("a") * F.log2("a")).otherwise(0.0) + wrong * F.log2(wrong / F.greatest(F.col("c") - 1, F.lit(1))))
+    prior = F.when(F.col("c") > 1, F.log2("c")).otherwise(1.0)
+    return g.select("run_id", F.round((prior - left) / F.col("bytes"), 6).alias("bits_per_byte"))
 
 
 _COV = "v AS (SELECT unnest(range(64)) AS i, unnest(embedding)::DOUBLE AS x, vec_id FROM embeddings WHERE embedding IS NOT NULL), c AS (SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id GROUP BY a.i, b.i)"
@@ -115,9 +123,14 @@ def i9(spark, d):
 @query("I10_geometry_curve", f"WITH {_E} SELECT dist, count(*) AS pairs, round(avg(same::INT), 6) AS same FROM (SELECT {q.ham('a.words', 'b.words', 2)} AS dist, a.label = b.label AS same FROM e a JOIN e b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0) GROUP BY dist")
 def i10(spark, d):
     e = stores.entries(spark, d)
-    asked = stores.asked(e).select(F.col("vec_id").alias("i"), F.col("words").alias("x"), F.col("label").alias("own"))
-    pairs = e.join(F.broadcast(asked), F.col("i") != F.col("vec_id"))
-    return pairs.groupBy(w.hamming(F.col("x"), F.col("words"), stores.W).alias("dist")).agg(F.count("*").alias("pairs"), F.round(F.avg((F.col("own") == F.col("label")).cast("int")), 6).alias("same"))
+    out = None
+    for block in st.blocks(stores.asked(e), "vec_id"):
+        asked = F.broadcast(block.select(F.col("vec_id").alias("i"), F.col("words").alias("x"), F.col("label").alias("own")))
+        pairs = e.join(asked, F.col("i") != F.col("vec_id"))
+        same = (F.col("own") == F.col("label")).cast("int")
+        part = pairs.groupBy(w.hamming(F.col("x"), F.col("words"), stores.W).alias("dist")).agg(F.count("*").alias("pairs"), F.sum(same).alias("s"), F.count(same).alias("n"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("dist").agg(F.sum("pairs").alias("pairs"), F.round(F.sum("s") / F.sum("n"), 6).alias("same"))
 
 
 @query("I11_verdict", "WITH r AS (SELECT run_id, avg(hit::INT) AS a FROM results WHERE hit IS NOT NULL GROUP BY run_id), c AS (SELECT compiler, avg(a) AS mean, stddev_pop(a) / avg(a) AS cv FROM r JOIN runs USING (run_id) GROUP BY compiler) SELECT compiler, round(mean, 6) AS mean, round(cv, 6) AS cv, CASE WHEN cv < 0.1 THEN 'STABLE' WHEN cv < 0.3 THEN 'TRENDING' ELSE 'SCALING' END AS verdict FROM c")
@@ -237,10 +250,36 @@ def v7(spark, d):
     return got.groupBy("mem").agg(F.count("*").alias("queries"), F.count_if(F.col("o") == F.col("answer")).alias("hits"))
 
 
-@query("V10_containment", f"SELECT result_id, length(trim(gold, ' ')) > 0 AND contains(lower(ans), lower(trim(gold, ' '))) AS contained FROM results WHERE gold IS NOT NULL AND ans IS NOT NULL")
+_SENT = r"ft AS MATERIALIZED (SELECT fact_id, lower(s || ' ' || replace(r, '_', ' ') || ' ' || o) AS t, lower(s) AS s, lower(o) AS o FROM facts WHERE s IS NOT NULL AND r IS NOT NULL AND o IS NOT NULL), fw AS MATERIALIZED (SELECT fact_id, unnest(list_distinct(regexp_extract_all(t, '[a-z0-9]+'))) AS w FROM ft), sz AS (SELECT fact_id, count(*) AS n FROM fw GROUP BY fact_id), qw AS (SELECT fact_id AS q, unnest(list_distinct(regexp_extract_all(lower(s || ' ' || replace(r, '_', ' ')), '[a-z0-9]+'))) AS w FROM facts WHERE s IS NOT NULL AND r IS NOT NULL AND o IS NOT NULL AND fact_id % 20 = 0), qs AS (SELECT q, count(*) AS n FROM qw GROUP BY q), ov AS (SELECT q, fact_id, count(*) AS c FROM qw JOIN fw USING (w) GROUP BY q, fact_id), rk AS MATERIALIZED (SELECT q, ov.fact_id, row_number() OVER (PARTITION BY q ORDER BY round(c / (qs.n + sz.n - c)::DOUBLE, 9) DESC, ov.fact_id) AS rank FROM ov JOIN sz ON sz.fact_id = ov.fact_id JOIN qs USING (q))"
+
+
+def _retrieved(spark, d, k: int):
+    """For every 20th fact, asked by subject and relation: the ``k`` facts whose words overlap most (Jaccard,
+    ties by id), against all facts, by a join on shared words."""
+    low = lambda c: F.lower(c)
+    f = table(spark, d, "facts").where("s is not null and r is not null and o is not null")
+    bag = lambda c: F.array_distinct(F.regexp_extract_all(c, F.lit("[a-z0-9]+"), F.lit(0)))
+    said = F.concat_ws(" ", "s", F.replace("r", F.lit("_"), F.lit(" ")), "o")
+    held = stored(f.select("fact_id", low(said).alias("t"), bag(low(said)).alias("ws")), "sentences")
+    asked = f.where("fact_id % 20 = 0").select(F.col("fact_id").alias("q"), F.lower("o").alias("gold"), bag(low(F.concat_ws(" ", "s", F.replace("r", F.lit("_"), F.lit(" "))))).alias("qs"))
+    words = asked.select("q", F.size("qs").alias("a"), F.explode("qs").alias("w"))
+    shared = words.join(held.select("fact_id", F.size("ws").alias("b"), F.explode("ws").alias("w")), "w").groupBy("q", "fact_id").agg(F.count("*").alias("c"), F.any_value("a").alias("a"), F.any_value("b").alias("b"))
+    score = F.round(F.col("c") / (F.col("a") + F.col("b") - F.col("c")), 9)
+    best = shared.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc(score), "fact_id"))).where(F.col("rank") <= k)
+    return best.join(held.select("fact_id", "t"), "fact_id").join(asked.select("q", "gold"), "q").withColumn("hit", F.contains("t", "gold"))
+
+
+@query("V10_containment", f"WITH {_SENT} SELECT q, bool_or(contains(x.t, y.o) AND rank <= 5) AS at_5, bool_or(contains(x.t, y.o)) AS at_10 FROM rk JOIN ft x ON x.fact_id = rk.fact_id JOIN ft y ON y.fact_id = q WHERE rank <= 10 GROUP BY q")
 def v10(spark, d):
-    gold = F.lower(F.trim("gold"))
-    return table(spark, d, "results").where("gold is not null and ans is not null").select("result_id", ((F.length(gold) > 0) & F.contains(F.lower("ans"), gold)).alias("contained"))
+    """Recall at 5 and 10 by containment: whether the gold answer stands in a retrieved sentence."""
+    return _retrieved(spark, d, 10).groupBy("q").agg(F.bool_or(F.col("hit") & (F.col("rank") <= 5)).alias("at_5"), F.bool_or("hit").alias("at_10"))
+
+
+@query("H42_recall_by_containment", f"WITH {_SENT} SELECT count(*) AS questions, round(avg(hit), 6) AS recall_at_5 FROM (SELECT q, max(contains(x.t, y.o)::INT) AS hit FROM rk JOIN ft x ON x.fact_id = rk.fact_id JOIN ft y ON y.fact_id = q WHERE rank <= 5 GROUP BY q)")
+def h42(spark, d):
+    """Recall@5 of all questions by containment of the keyword, the object asked for."""
+    hit = _retrieved(spark, d, 5).groupBy("q").agg(F.max(F.col("hit").cast("int")).alias("hit"))
+    return hit.agg(F.count("*").alias("questions"), F.round(F.avg("hit"), 6).alias("recall_at_5"))
 
 
 @query("C18_compare", r"WITH y AS (SELECT run_id, result_id, TRY_CAST(regexp_extract(ans, '[0-9]{4}') AS INT) AS year FROM results WHERE ans IS NOT NULL) SELECT run_id, min(year) AS year, arg_min(result_id, year * 10000000000 + result_id) AS result_id FROM y WHERE year IS NOT NULL GROUP BY run_id")

@@ -9,6 +9,7 @@ from bitweave.catalog import query
 from bitweave.functions import text as tx
 from bitweave.functions import words as w
 from bitweave.operators import edges as eg
+from bitweave.operators import store as st
 from bitweave.queries import texts
 from bitweave.session import stored, table
 
@@ -68,9 +69,13 @@ def g5(spark, d):
     asked = _anchors(spark, d).join(sources.withColumnRenamed("source", "entity"), "entity", "left_anti").where(F.size(tx.token_set(F.col("entity"))) > 0)
     held = stored(sources.where(F.size(tx.token_set(F.col("source"))) > 0).select("source", sketch("source").alias("y")), "sources")
     blocks = stored(asked.select("entity", sketch("entity").alias("x")), "anchors")
-    near = blocks.join(held, F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])) + F.bit_count(F.col("x")[1].bitwiseXOR(F.col("y")[1])) <= int(0.30 * 64))
-    best = near.groupBy("entity").agg(F.min(F.struct(w.hamming(F.col("x"), F.col("y"), 2).alias("dist"), "source")).alias("b"))
-    return best.select("entity", F.col("b.source").alias("source"), F.col("b.dist").alias("dist"))
+    out = None
+    for block in st.blocks(blocks, "entity"):
+        off = F.bit_count(F.col("x")[0].bitwiseXOR(F.col("y")[0])) + F.bit_count(F.col("x")[1].bitwiseXOR(F.col("y")[1]))
+        near = held.join(F.broadcast(block), off <= int(0.30 * 64))
+        best = near.groupBy("entity").agg(F.min(F.struct(w.hamming(F.col("x"), F.col("y"), 2).alias("dist"), "source")).alias("b"))
+        out = best if out is None else out.unionByName(best)
+    return out.select("entity", F.col("b.source").alias("source"), F.col("b.dist").alias("dist"))
 
 
 @query("G6_reverse_lookup", f"WITH {_U} SELECT target, min(edge_id) AS edge_id, arg_min(answer_payload, edge_id) AS answer FROM u WHERE answer_payload IS NOT NULL GROUP BY target")

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import hashlib
-import os
 import struct
 import uuid
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from bitweave.catalog import query
@@ -63,48 +64,60 @@ def s6(spark, d):
     return files.load_edges(spark, path, "source string, target string, support bigint, confidence double").withColumn("confidence", F.round("confidence", 6))
 
 
-def _containers(spark, d) -> str:
-    """A container per label with the states of its entries, written by the tasks that hold them."""
-    path = _place(spark, "containers").removeprefix("file://")
-    rows = stores.entries(spark, d).where("label is not null").groupBy("label").agg(F.array_sort(F.collect_list(F.struct("vec_id", "words"))).alias("es"))
+#: Entries of a container.
+SHARD = 4096
 
-    def write(part):
-        os.makedirs(path, exist_ok=True)
-        for r in part:
-            ids = [e["vec_id"] for e in r["es"]]
-            words = [x for e in r["es"] for x in e["words"]]
-            sections = [("ids", "u64", [len(ids)], struct.pack(f"<{len(ids)}Q", *ids)), ("states", "i32", [len(ids), 2], struct.pack(f"<{len(words)}I", *words))]
-            with open(f"{path}/{r['label']}.bin", "wb") as f:
-                f.write(container.build({"label": r["label"]}, sections))
 
-    rows.foreachPartition(write)
-    return path
+def containers(spark, d, more: list | None = None):
+    """Containers of a label's states, of up to ``SHARD`` entries each, written and read again as rows
+    (path, content). ``more``: sections that every container has besides."""
+    rows = stores.entries(spark, d).where("label is not null").withColumn("shard", F.expr(f"vec_id div {SHARD}"))
+
+    def pack(key, pdf):
+        pdf = pdf.sort_values("vec_id")
+        ids, words = pdf["vec_id"].tolist(), [x for e in pdf["words"] for x in e]
+        sections = [("ids", "u64", [len(ids)], struct.pack(f"<{len(ids)}Q", *ids)), ("states", "i32", [len(ids), 2], struct.pack(f"<{len(words)}I", *words)), *(more or [])]
+        return pd.DataFrame({"path": [f"{key[0]}-{key[1]}.bin"], "content": [container.build({"label": int(key[0])}, sections)]})
+
+    path = _place(spark, "containers")
+    container.write(rows.groupBy("label", "shard").applyInPandas(pack, "path string, content binary"), path)
+    return spark.read.parquet(path)
 
 
 @query("S8_S10_sections", f"WITH {stores._E} SELECT label, 'ids' AS name, 'u64' AS kind, [count(*)::INT] AS shape, (count(*) * 8)::INT AS bytes FROM e WHERE label IS NOT NULL GROUP BY label UNION ALL SELECT label, 'states', 'i32', [count(*)::INT, 2], (count(*) * 8)::INT FROM e WHERE label IS NOT NULL GROUP BY label")
 def s8(spark, d):
-    got = container.read(spark, _containers(spark, d))
-    return got.select(F.get_json_object("header", "$.label").cast("int").alias("label"), "name", "kind", "shape", F.length("data").alias("bytes"))
+    got = container.sections(containers(spark, d)).withColumn("label", F.get_json_object("header", "$.label").cast("int"))
+    n = F.sum(F.col("shape")[0]).cast("int")
+    shape = F.when(F.col("name") == "ids", F.array(n)).otherwise(F.array(n, F.lit(2)))
+    return got.groupBy("label", "name", "kind").agg(shape.alias("shape"), F.sum(F.length("data")).cast("int").alias("bytes"))
 
 
-@query("S9_validate", f"WITH {stores._E} SELECT count(DISTINCT label) AS files, TRUE AS valid FROM e")
+@query("S9_validate", f"WITH {stores._E}, s AS (SELECT DISTINCT label, vec_id // 4096 FROM e WHERE label IS NOT NULL) SELECT count(*) AS files, count(*) AS valid, 0 AS spoilt FROM s")
 def s9(spark, d):
-    return container.validate(spark, _containers(spark, d)).agg(F.count("*").alias("files"), F.bool_and("valid").alias("valid"))
+    """Checksums of all containers, and of copies of them with one byte changed."""
+    held = containers(spark, d)
+    spoilt = held.select("path", F.expr("overlay(content placing X'FF' from 600 for 1)").alias("content"))
+    counted = lambda x, name: container.checked(x).agg(F.count("*").alias("files"), F.count_if("valid").alias(name))
+    return counted(held, "valid").join(counted(spoilt, "spoilt").select(F.col("spoilt").cast("int").alias("spoilt")))
 
 
 @query("S11_model", f"WITH {stores._E} SELECT vec_id, words FROM e WHERE label IS NOT NULL")
 def s11(spark, d):
-    """States rebuilt from the sections of a container: ids and words are cut from the bytes in the JVM."""
-    got = container.read(spark, _containers(spark, d))
-    both = got.groupBy("path").agg(F.max(F.when(F.col("name") == "ids", F.hex("data"))).alias("ids"), F.max(F.when(F.col("name") == "states", F.hex("data"))).alias("states"))
-    little = lambda h, at, n: F.conv(F.concat(*[F.substring(h, at + 2 * (n - 1 - i), F.lit(2)) for i in range(n)]), 16, 10).cast("bigint")
-    rows = both.select("ids", "states", F.explode(F.expr("sequence(0, cast(length(ids) / 16 as int) - 1)")).alias("k"))
-    return rows.select(little(F.col("ids"), F.col("k") * 16 + 1, 8).alias("vec_id"), F.array(little(F.col("states"), F.col("k") * 16 + 1, 4), little(F.col("states"), F.col("k") * 16 + 9, 4)).alias("words"))
+    """States rebuilt from the sections of a container."""
+    def rebuild(batches):
+        for batch in batches:
+            for path, data in zip(batch["ids"], batch["states"]):
+                ids, words = np.frombuffer(path, "<u8"), np.frombuffer(data, "<u4").reshape(-1, 2)
+                yield pd.DataFrame({"vec_id": ids.astype(np.int64), "words": list(words.astype(np.int64))})
+
+    got = container.sections(containers(spark, d))
+    part = lambda name: F.max(F.when(F.col("name") == name, F.col("data"))).alias(name)
+    return got.groupBy("path").agg(part("ids"), part("states")).select("ids", "states").mapInPandas(rebuild, "vec_id bigint, words array<bigint>")
 
 
-@query("S15_vocabulary", f"WITH t AS (SELECT DISTINCT unnest({texts._words('lower(text)')}) AS t FROM documents WHERE lang = 'en' AND text IS NOT NULL) SELECT t AS token, ('0x' || substr(md5(t), 1, 6))::INT AS id FROM t")
+@query("S15_vocabulary", f"WITH t AS (SELECT DISTINCT unnest({texts._words('lower(text)')}) AS t FROM documents WHERE text IS NOT NULL) SELECT t AS token, ('0x' || substr(md5(t), 1, 6))::INT AS id FROM t")
 def s15(spark, d):
-    tokens = texts.docs(spark, d).where("lang = 'en'").select(F.explode(tx.low_words(F.col("text"))).alias("token")).distinct()
+    tokens = texts.docs(spark, d).select(F.explode(tx.low_words(F.col("text"))).alias("token")).distinct()
     made = tokens.select("token", F.conv(F.substring(F.md5("token"), 1, 6), 16, 10).cast("int").alias("id"))
     path = _place(spark, "vocabulary")
     # A vocabulary is one JSON object per file; each task writes its own.

@@ -17,7 +17,7 @@ from bitweave.operators import store as st
 from bitweave.queries import oracle as q
 from bitweave.queries import stores, texts
 from bitweave.queries.algebra import facts
-from bitweave.session import table
+from bitweave.session import stored, table
 
 _THEORY_RULES = [
     (r"^(\w+) is (\w+)\.?$", "fact"),
@@ -94,9 +94,12 @@ def l7(spark, d):
     out = at
     order = Window.partitionBy("start").orderBy("dist", "vec_id")
     for k in range(1, 4):
-        pairs = e.join(F.broadcast(at.select("start", "here", "x")), F.col("vec_id") > F.col("here"))
-        near = pairs.withColumn("dist", w.hamming(F.col("x"), F.col("words"), stores.W)).withColumn("n", F.row_number().over(order)).where("n = 1")
-        at = near.select("start", F.col("vec_id").alias("here"), F.col("words").alias("x"), F.lit(k).alias("step"))
+        near = None
+        for block in st.blocks(at, "start"):
+            pairs = e.join(F.broadcast(block.select("start", "here", "x")), F.col("vec_id") > F.col("here"))
+            found = pairs.withColumn("dist", w.hamming(F.col("x"), F.col("words"), stores.W)).withColumn("n", F.row_number().over(order)).where("n = 1")
+            near = found if near is None else near.unionByName(found)
+        at = stored(near.select("start", F.col("vec_id").alias("here"), F.col("words").alias("x"), F.lit(k).alias("step")), "step")
         out = out.unionByName(at)
     return out.select("start", "here", "step")
 
@@ -119,14 +122,6 @@ def h36(spark, d):
     return g.select("dim", "n", F.round(F.sqrt(2 * F.col("dim") / (F.pi() * F.col("n"))), 6).alias("z_signal"))
 
 
-@query("H42_recall_by_containment", f"WITH {stores._E}, {stores._NN} SELECT nn.q, bool_or(nn.label = e.label) AS found, count(*) AS n FROM nn JOIN e ON e.vec_id = nn.q GROUP BY nn.q")
-def h42(spark, d):
-    e = stores.entries(spark, d)
-    near = st.knn(e, stores.asked(e), "vec_id", "words", 5, stores.W, ["label"])
-    own = e.select(F.col("vec_id").alias("q"), F.col("label").alias("own"))
-    return near.join(own, "q").groupBy("q").agg(F.bool_or(F.col("label") == F.col("own")).alias("found"), F.count("*").alias("n"))
-
-
 @query("M8_M9_contract_text")
 def m8(spark, d):
     """The contract of every memory as text."""
@@ -139,14 +134,38 @@ def m8(spark, d):
     return s.select("mem", text.alias("contract"), F.concat_ws("\n", *[pad(c) for c in fields]).alias("report"))
 
 
+def binomial_tail(k: int, n: int, p: float) -> float:
+    """P(X >= k) of n trials: the regularised incomplete beta function at p, by its continued fraction."""
+    if k <= 0:
+        return 1.0
+    if k > n or p <= 0:
+        return 0.0
+    if p >= 1:
+        return 1.0
+    a, b = float(k), float(n - k + 1)
+    if p > (a + 1) / (a + b + 2):
+        return 1 - binomial_tail(n - k + 1, n, 1 - p)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(p) + b * math.log1p(-p)) / a
+    tiny = 1e-300
+    c, d = 1.0, 1 / (1 - (a + b) * p / (a + 1) or tiny)
+    h = d
+    for m in range(1, 10_000):
+        for step in (m * (b - m) * p / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * p / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + step * d or tiny)
+            c = 1 + step / c or tiny
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
 @query("M13_clopper_pearson")
 def m13(spark, d):
-    """Exact binomial intervals of every run's hit rate, by bisection of the binomial distribution."""
+    """Exact binomial intervals of every run's hit rate, by bisection of the binomial distribution, whose tail
+    is a regularised incomplete beta function: its cost does not grow with the run."""
     @F.pandas_udf("low double, high double")
     def interval(ks: pd.Series, ns: pd.Series) -> pd.DataFrame:
-        def tail(k: int, n: int, p: float) -> float:  # P(X >= k)
-            return sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
-
+        tail = binomial_tail
         rows = []
         for k, n in zip(ks, ns):
             ends = []

@@ -94,8 +94,12 @@ def k10(spark, d):
 @query("H16_all_pairs", f"WITH {_E} SELECT dist, count(*) AS pairs FROM (SELECT {q.ham('a.words', 'b.words', 2)} AS dist FROM e a JOIN e b ON a.vec_id < b.vec_id) GROUP BY dist")
 def h16(spark, d):
     e = entries(spark, d)
-    a, b = e.select(F.col("vec_id").alias("i"), F.col("words").alias("x")), e.select(F.col("vec_id").alias("j"), F.col("words").alias("y"))
-    return a.join(F.broadcast(b), F.col("i") < F.col("j")).groupBy(w.hamming(F.col("x"), F.col("y"), W).alias("dist")).agg(F.count("*").alias("pairs"))
+    a, out = e.select(F.col("vec_id").alias("i"), F.col("words").alias("x")), None
+    for block in st.blocks(e, "vec_id"):  # the whole table block by block; each gives 65 rows at most
+        b = F.broadcast(block.select(F.col("vec_id").alias("j"), F.col("words").alias("y")))
+        part = a.join(b, F.col("i") < F.col("j")).groupBy(w.hamming(F.col("x"), F.col("y"), W).alias("dist")).agg(F.count("*").alias("pairs"))
+        out = part if out is None else out.unionByName(part)
+    return out.groupBy("dist").agg(F.sum("pairs").alias("pairs"))
 
 
 def _lsh(x: str) -> str:

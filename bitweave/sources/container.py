@@ -69,25 +69,42 @@ def parse(blob: bytes) -> tuple[str, list[tuple[str, str, list[int], bytes]]]:
     return header, found
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """One row per section of every container at ``path`` (a file, folder or pattern)."""
+def sections(files: DataFrame) -> DataFrame:
+    """One row per section of every container of ``files`` (path, content)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for p, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    header, sections = parse(blob)
-                    rows += [(p, header, n, k, s, d, None) for n, k, s, d in sections]
+                    header, found = parse(blob)
+                    rows += [(p, header, n, k, s, d, None) for n, k, s, d in found]
                 except (ValueError, struct.error) as e:
                     rows.append((p, None, None, None, None, None, str(e)))
             kinds = [pa.string(), pa.string(), pa.string(), pa.string(), pa.list_(pa.int32()), pa.binary(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, SCHEMA)
+    return files.select("path", "content").mapInArrow(run, SCHEMA)
 
 
-def validate(spark: SparkSession, path: str) -> DataFrame:
-    """(path, bytes, valid): whether the last eight bytes are those of the hash of the rest. In the JVM."""
-    files = spark.read.format("binaryFile").load(path)
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """One row per section of every container at ``path`` (a file, folder or pattern)."""
+    return sections(spark.read.format("binaryFile").load(path))
+
+
+def checked(files: DataFrame) -> DataFrame:
+    """(path, header, bytes, valid) of ``files`` (path, content): whether the last eight bytes are those
+    of the hash of the rest. In the JVM."""
     body, end = F.expr("substring(content, 1, length(content) - 8)"), F.expr("substring(content, length(content) - 7, 8)")
-    return files.select("path", F.length("content").alias("bytes"), (F.substring(F.sha2(body, 256), 1, 16) == F.lower(F.hex(end))).alias("valid"))
+    header = F.expr("regexp_extract(decode(substring(content, 21, 492), 'ISO-8859-1'), '^([^\\\\x00]*)', 1)")
+    return files.select("path", header.alias("header"), F.length("content").alias("bytes"), (F.substring(F.sha2(body, 256), 1, 16) == F.lower(F.hex(end))).alias("valid"))
+
+
+def validate(spark: SparkSession, path: str) -> DataFrame:
+    """(path, bytes, valid) of every container at ``path``."""
+    return checked(spark.read.format("binaryFile").load(path)).drop("header")
+
+
+def write(files: DataFrame, path: str) -> None:
+    """Containers (path, content) through Spark's own writer, so that any shared file system will do:
+    a table with one container a row."""
+    files.select("path", "content").write.mode("overwrite").parquet(path)
