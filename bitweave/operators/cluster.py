@@ -76,15 +76,18 @@ def refine(entries: DataFrame, members: DataFrame, ident: str, state: str, words
 
 
 def two_stage(entries: DataFrame, members: DataFrame, centroids: DataFrame, queries: DataFrame, ident: str, state: str, k: int, probe: int, words: int) -> DataFrame:
-    """(q, ident, dist, rank): k nearest among the members of the ``probe`` nearest clusters."""
+    """(q, ident, dist, rank): k nearest among the members of the ``probe`` nearest clusters, and of the next
+    nearest as long as those chosen have too few members for k others than the query itself."""
     asked = queries.select(F.col(ident).alias("q"), F.col(state).alias("_q"))
+    sized = centroids.join(members.groupBy("leader").agg(F.count("*").alias("members")), "leader")
     order = Window.partitionBy("q").orderBy("pd", "leader")
+    before = F.coalesce(F.sum("members").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    enough = lambda d: d.withColumn("pr", F.row_number().over(order)).withColumn("before", before).where((F.col("pr") <= probe) | (F.col("before") <= k))
     near = None
-    for block in blocks(centroids, "leader"):
-        found = asked.join(F.broadcast(block), how="cross").withColumn("pd", w.hamming(F.col("_q"), F.col("proto"), words))
-        found = found.withColumn("pr", F.row_number().over(order)).where(F.col("pr") <= probe)
+    for block in blocks(sized, "leader"):
+        found = enough(asked.join(F.broadcast(block), how="cross").withColumn("pd", w.hamming(F.col("_q"), F.col("proto"), words)))
         near = found if near is None else near.unionByName(found)
-    chosen = near.withColumn("pr", F.row_number().over(order)).where(F.col("pr") <= probe).select("q", "_q", "leader")
+    chosen = enough(near.drop("pr", "before")).select("q", "_q", "leader")
     held = entries.join(members, ident).join(chosen, "leader")
     dist = held.select("q", ident, w.hamming(F.col("_q"), F.col(state), words).alias("dist"))
     return dist.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy("dist", ident))).where(F.col("rank") <= k)
