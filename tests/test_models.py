@@ -132,3 +132,16 @@ def test_xor_machine_is_the_fold(spark):
     got = spark.createDataFrame([(xs,)], "xs array<array<bigint>>").select(kernels.xor_machine(F.col("xs"), 2).alias("s")).first()["s"]
     a = spark.range(1).select(w.bind(w.rho(F.array(F.lit(1).cast("bigint"), F.lit(2).cast("bigint")), 1, 2), F.array(F.lit(3).cast("bigint"), F.lit(4).cast("bigint"))).alias("s")).first()["s"]
     assert got == a
+
+
+@pytest.mark.parametrize("folder", [False, True])
+def test_edge_hits_of_a_file_and_of_a_folder(spark, tmp_path, folder):
+    from bitweave import catalog
+    from bitweave import queries as _core  # noqa: F401
+
+    df = spark.createDataFrame([(1, "purchase"), (1, "view"), (2, None), (2, "purchase"), (None, "view")], "user_id bigint, event_type string").withColumn("ts", F.lit("2026-01-01 00:00:00").cast("timestamp"))
+    df.coalesce(1).write.parquet(str(tmp_path / "all"))
+    (tmp_path / "all").rename(tmp_path / "events.parquet") if folder else next((tmp_path / "all").glob("part-*")).rename(tmp_path / "events.parquet")
+    df.limit(1).write.parquet(str(tmp_path / "facts.parquet"))
+    got = catalog.queries()["ST1_edge_hits_stream"](spark, str(tmp_path))
+    assert {tuple(r) for r in got.collect()} == {(1, 2, 1, 0.5), (2, 2, 1, 0.5), (None, 1, 0, 0.333333)}
