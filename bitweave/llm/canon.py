@@ -14,7 +14,8 @@ segments whole, at a place shifted by their number at most, so a word costs look
 no pass over the list. Values are read once each, however often they are typed.
 
 The list is sent to the executors in slices of ``SLICE`` entries, so there is none that is too long;
-the best entries of the slices are compared as those of one slice are.
+the best entries of the slices are compared as those of one slice are. Words that change nothing go
+out in slices of about ``MOST_NOISE``; of all but the first, a value keeps those of its words they hold.
 """
 
 from __future__ import annotations
@@ -28,12 +29,12 @@ import ahocorasick
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 from bitweave.llm.names import plain
 from bitweave.session import cut, partitions
 
-#: Entries that are sent at once, and words that change nothing at most (the best supported ones).
+#: Entries, and words that change nothing, that are sent at once.
 SLICE, MOST_NOISE = 200_000, 20_000
 #: Entries beside whose mentions a word must be left over; neighbours of a word that tells entries apart.
 SUPPORT, NEIGHBOURS = 3, 5
@@ -178,6 +179,19 @@ def abbreviates(short: str, long: str) -> float | None:
     return 0.4 if short[-1] == long[-1] else 0.7
 
 
+class Noise:
+    """A slice of the words that change nothing."""
+
+    def __init__(self, noise: frozenset[str]):
+        self.noise, self.near = noise, Words([w for w in noise if len(w) >= 4]).near
+
+    def kind(self, token: str) -> int:
+        """2: a word that changes nothing; 1: one if it is no word of the list (a number, misspelt); 0: neither."""
+        if token in self.noise:
+            return 2
+        return int(is_number(token) and "#" in self.noise or len(token) >= 4 and any(e == 1 for e in self.near(token).values()))
+
+
 class Canon:
     """A slice of the reference list with its automaton and words. ``entries``: (id, name); of equal
     names the smallest id stands for all. ``noise``: words that change nothing, "#" for numbers."""
@@ -215,16 +229,18 @@ class Canon:
             for t in bare:
                 self.holders[t].add(ident)
         self.words = Words(list(self.holders))
-        self.noise, self.noise_words = noise, Words([w for w in noise if len(w) >= 4])
-        self.near = functools.lru_cache(1 << 17)(self._near)
+        self.noise, self.further = Noise(noise), {}
+        self.known = functools.lru_cache(1 << 17)(self._near)
 
     def _near(self, token: str) -> tuple[dict[str, float], bool]:
         """Words of the list that a typed word may be, and whether it may change nothing."""
-        near = self.words.near(token)
-        noise = token in self.noise or is_number(token) and "#" in self.noise and token not in self.holders
-        if not noise and token not in self.holders and len(token) >= 4:
-            noise = any(e == 1 for e in self.noise_words.near(token).values())
-        return near, noise
+        kind = self.noise.kind(token)
+        return self.words.near(token), kind > 1 or kind == 1 and token not in self.holders
+
+    def near(self, token: str) -> tuple[dict[str, float], bool]:
+        near, noise = self.known(token)
+        kind = self.further.get(token, 0)
+        return near, noise or kind > 1 or kind == 1 and token not in self.holders
 
     def mention(self, tokens: list[str]) -> tuple[int, int, list[str]] | None:
         """(size, id, words left over) of the longest embedded mention."""
@@ -317,9 +333,11 @@ class Canon:
                 return None
         return None if any(left.values()) else total
 
-    def best(self, value: str) -> list[tuple[float, int]]:
+    def best(self, value: str, further: dict[str, int] | None = None) -> list[tuple[float, int]]:
         """(cost, id) of up to two entries that a value may stand for. Costs below 0 are mentions,
-        the longest first; a whole name comes before them."""
+        the longest first; a whole name comes before them. ``further``: the kinds of words of the
+        value that change nothing by other slices of such words."""
+        self.further = further or {}
         tokens = words(value)
         if not tokens or not self.of:
             return []
@@ -342,6 +360,7 @@ def decide(found: list[tuple[float, int]]) -> int:
 
 
 _BEST = ArrayType(StructType([StructField("cost", DoubleType()), StructField("id", LongType())]))
+_FURTHER = ArrayType(StructType([StructField("w", StringType()), StructField("kind", IntegerType())]))
 _LEFT = ArrayType(StructType([StructField("id", LongType()), StructField("w", StringType())]))
 
 
@@ -362,11 +381,17 @@ def map_values(values: DataFrame, value: str, entries: DataFrame, ident: str, na
         sent = spark.sparkContext.broadcast(part(i))
         found = distinct.select(F.explode(_left_over(sent)("value")).alias("l")).select("l.*").distinct()
         left = found if left is None else left.unionByName(found)
-    told = left.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).orderBy(F.desc("n"), "w").limit(MOST_NOISE)
-    noise = spark.sparkContext.broadcast(frozenset(r[0] for r in told.collect()))
+    told = cut(left.groupBy("w").agg(F.count("*").alias("n")).where(F.col("n") >= SUPPORT).select("w"))
+    lots = max(1, -(-told.count() // MOST_NOISE))
+    lot = lambda i: spark.sparkContext.broadcast(frozenset(r[0] for r in (told if lots == 1 else told.where(F.pmod(F.xxhash64("w"), F.lit(lots)) == i)).collect()))
+    noise = lot(0)
+    further = F.array().cast(_FURTHER)
+    for i in range(1, lots):
+        further = F.concat(further, _further(lot(i))("value"))
+    distinct = distinct.withColumn("further", further) if lots == 1 else cut(distinct.withColumn("further", further))
     for i in range(slices):
         sent = spark.sparkContext.broadcast(part(i))
-        found = distinct.select("value", _best(sent, noise)("value").alias("best"))
+        found = distinct.select("value", _best(sent, noise)("value", "further").alias("best"))
         best = found if best is None else best.unionByName(found)
     if slices > 1:
         best = best.groupBy("value").agg(F.flatten(F.collect_list("best")).alias("best"))
@@ -386,11 +411,27 @@ def _left_over(sent):  # noqa: ANN001
     return left_over
 
 
+def _further(noise):  # noqa: ANN001
+    @F.pandas_udf(_FURTHER)
+    def further(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        kind = functools.lru_cache(1 << 17)(Noise(noise.value).kind)
+        for texts in batches:
+            yield texts.map(lambda v: [{"w": t, "kind": kind(t)} for t in set(words(v)) if kind(t)])
+
+    return further
+
+
 def _best(sent, noise):  # noqa: ANN001
     @F.pandas_udf(_BEST)
-    def best(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    def best(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
         canon = Canon(sent.value, noise.value)
-        for texts in batches:
-            yield texts.map(lambda v: [{"cost": c, "id": i} for c, i in canon.best(v)])
+        for texts, further in batches:
+            out = []
+            for v, more in zip(texts, further):
+                kinds: dict[str, int] = {}
+                for x in more:
+                    kinds[x["w"]] = max(x["kind"], kinds.get(x["w"], 0))
+                out.append([{"cost": c, "id": i} for c, i in canon.best(v, kinds)])
+            yield pd.Series(out, dtype=object)
 
     return best

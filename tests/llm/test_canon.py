@@ -48,6 +48,18 @@ def test_words_that_change_nothing_are_learned(spark):
     assert all(r["canon_id"] == r["want"] for r in map_values(df, "value", refs, "id", "name").collect())
 
 
+def test_all_words_that_change_nothing_are_learned(spark, monkeypatch):
+    import bitweave.llm.canon as c
+
+    places, kinds = [f"{a}{b}vik" for a in ("Kalu", "Memo", "Tira", "Sobe") for b in ("ran", "gost", "pelm")], ["parish", "township", "borough", "1204"]
+    refs = spark.createDataFrame(list(enumerate(places)), "id int, name string")
+    typed = [(f"{p} {k}", i) for i, p in enumerate(places) for k in kinds] + [(f"{places[0]} townshp", 0), (f"{places[1]} quarry", -1), (f"borough {places[2]} parish", 2)]
+    df = spark.createDataFrame(typed, "value string, want int")
+    for most in (20_000, 1):
+        monkeypatch.setattr(c, "MOST_NOISE", most)
+        assert all(r["canon_id"] == r["want"] for r in map_values(df, "value", refs, "id", "name").collect())
+
+
 @settings(max_examples=300, deadline=None)
 @given(st.text("abc", min_size=1, max_size=9), st.text("abc", max_size=9))
 def test_distance(a, b):
